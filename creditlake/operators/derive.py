@@ -405,7 +405,7 @@ def derive_notebook(df: DataFrame) -> DataFrame:
     blanked = df.withColumns({c: F.nullif(dbl(c), F.lit(0.0)) for c in money})
     typical = one_row(quantile_row(blanked, money, 0.5))
     e1, e2, e3 = [F.when(F.col(c) == 0, F.lit(0.5)).otherwise(F.col(c)) for c in EXT]
-    core = {n: (x if n in ("EXT_min", "EXT_max") else x) for n, x in _ext_core(e1, e2, e3, dots=True).items()}
+    core = _ext_core(e1, e2, e3, dots=True)
     pair_known = [F.when(e.isNotNull(), 1).otherwise(0) for e in (e1, e2, e3)]
     known_mean = ratio(row_sum(F.coalesce(e, F.lit(0.0)) for e in (e1, e2, e3)), row_sum(pair_known))
     squares = row_sum(F.coalesce((e - known_mean) * (e - known_mean), F.lit(0.0)) for e in (e1, e2, e3))
