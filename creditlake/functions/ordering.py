@@ -45,6 +45,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def beside(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table expected to be small, such as one row per class. It is materialised and counted first: only within
+    BROADCAST_ROWS is it broadcast, which spares the large side a shuffle on a two-valued key; else a shuffle join."""
+    kept = durable(small)
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    return df.join(kept, keys, how)
+
+
 def mix(id_col: Column | str, seed: int = 0) -> Column:
     """A seeded pseudo-random order key for an integer id, reproducible in any SQL engine."""
     m = F.lit(MIX_MODULUS).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import dbl, flag, melt, one_row
-from creditlake.functions.ordering import exact_quantiles
+from creditlake.functions.ordering import beside, exact_quantiles
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
@@ -185,13 +185,12 @@ def histogram(df: DataFrame, column: str, by: str, bins: int, log10: bool = Fals
 def box_summary(df: DataFrame, column: str, by: str) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR and the number of points beyond, per class."""
     q = exact_quantiles(df, [column], [0.25, 0.5, 0.75], [by]).select(
-        F.col(by).alias("_by"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+        by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     x, reach = dbl(column), (F.col("q3") - F.col("q1")) * 1.5
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     return (
-        df.where(F.col(column).isNotNull())
-        .join(q, F.col(by) == F.col("_by"))
+        beside(df.where(F.col(column).isNotNull()).select(by, column), q, [by])
         .groupBy(by)
         .agg(
             F.first("q1").alias("q1"),
@@ -213,7 +212,7 @@ def kernel_density(df: DataFrame, column: str, by: str, points: int = 50) -> Dat
         F.count(F.lit(1)).alias("n"), (F.stddev_samp("x") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("h")
     )
     counted = base.groupBy(by, "x").agg(F.count(F.lit(1)).alias("c"))
-    joined = counted.join(shape, by).withColumn("_s", span)
+    joined = beside(counted, shape, [by]).withColumn("_s", span)
     step = (F.col("_s.hi") - F.col("_s.lo")) / F.lit(float(points - 1))
     sums = []
     for i in range(points):

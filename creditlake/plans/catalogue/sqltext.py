@@ -7,9 +7,10 @@ def _days(x: str, ref: str) -> str:
     return f"date_diff('day', {ref}, CAST({x} AS DATE))"
 
 
+REPORT_DAY = "DATE '2024-01-31'"
 _DUE = _days("l_shipdate", "DATE '2001-11-05'")
 _ORDERED = _days("o_orderdate", "DATE '2001-08-02'")
-_MONTH = f"CAST({_days('ts', chr(68) + 'ATE ' + chr(39) + '2024-01-31' + chr(39))} AS INT)"
+_MONTH = f"CAST({_days('ts', REPORT_DAY)} AS INT)"
 
 VIEWS = {
     "v_application": """
@@ -36,7 +37,7 @@ SELECT o_orderkey AS SK_ID_BUREAU, o_custkey AS SK_ID_CURR,
  CAST(o_orderkey % 3 AS INT) AS CNT_CREDIT_PROLONG, o_totalprice AS AMT_CREDIT_SUM,
  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice * ((o_orderkey % 11) - 1) / 10 END AS AMT_CREDIT_SUM_DEBT,
  CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice * CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
-  AS AMT_CREDIT_SUM_OVERDUE FROM orders WHERE o_custkey % 10 <> 3""",
+  AS AMT_CREDIT_SUM_OVERDUE FROM orders""",
     "v_bureau_balance": """
 SELECT l_orderkey AS SK_ID_BUREAU, CAST(-(l_linenumber * 2 + l_partkey % 24) AS INT) AS MONTHS_BALANCE,
  CASE l_returnflag WHEN 'R' THEN CAST(1 + l_partkey % 5 AS STRING) WHEN 'A' THEN 'C' ELSE '0' END AS STATUS
@@ -51,7 +52,7 @@ SELECT o_orderkey AS SK_ID_PREV, o_custkey AS SK_ID_CURR,
  o_orderpriority AS NAME_GOODS_CATEGORY, {_ORDERED} AS DAYS_DECISION, o_totalprice AS AMT_APPLICATION,
  o_totalprice * CAST(0.9 AS DOUBLE) AS AMT_CREDIT, o_totalprice AS AMT_GOODS_PRICE,
  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice * CAST(0.1 AS DOUBLE) END AS AMT_DOWN_PAYMENT
-FROM orders WHERE o_custkey % 10 <> 7""",
+FROM orders""",
     "v_installments": f"""
 SELECT l_orderkey AS SK_ID_PREV, o_custkey AS SK_ID_CURR, l_linenumber AS NUM_INSTALMENT_NUMBER,
  {_DUE} AS DAYS_INSTALMENT,
@@ -75,7 +76,7 @@ SELECT event_id AS SK_ID_EVENT, user_id * 10 + event_id % 2 AS SK_ID_PREV, user_
  CASE WHEN event_type = 'click' THEN value ELSE CAST(0 AS DOUBLE) END AS AMT_DRAWINGS_ATM_CURRENT,
  value AS AMT_DRAWINGS_CURRENT, CAST(event_id % 4 AS INT) AS CNT_DRAWINGS_CURRENT,
  CASE WHEN event_type = 'error' THEN CAST(FLOOR(value) AS INT) ELSE 0 END AS SK_DPD,
- value * 90 AS AMT_RECEIVABLE_PRINCIPAL FROM events WHERE user_id % 2 = 0""",
+ value * 90 AS AMT_RECEIVABLE_PRINCIPAL FROM events""",
     "v_scores": """
 SELECT doc_id AS row_id, toxic AS y, CAST(((doc_id * 7919) % 1000) + toxic * 250 AS DOUBLE) / 1250 AS score_a,
  CAST(((doc_id * 104729) % 500) + toxic * 100 AS DOUBLE) / 600 AS score_b FROM labels""",

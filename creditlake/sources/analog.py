@@ -47,7 +47,7 @@ def application(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bureau(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").where("o_custkey % 10 <> 3").selectExpr(
+    return table(spark, folder, "orders").selectExpr(
         "o_orderkey AS SK_ID_BUREAU",
         "o_custkey AS SK_ID_CURR",
         "CASE WHEN o_orderstatus = 'O' THEN 'Active' WHEN o_orderstatus = 'F' THEN 'Closed' "
@@ -71,7 +71,7 @@ def bureau_balance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def previous(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").where("o_custkey % 10 <> 7").selectExpr(
+    return table(spark, folder, "orders").selectExpr(
         "o_orderkey AS SK_ID_PREV",
         "o_custkey AS SK_ID_CURR",
         "CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Refused' ELSE 'Cancelled' END "
@@ -119,7 +119,7 @@ def pos_cash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def credit_card(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").where("user_id % 2 = 0").selectExpr(
+    return table(spark, folder, "events").selectExpr(
         "event_id AS SK_ID_EVENT",
         "user_id * 10 + event_id % 2 AS SK_ID_PREV",
         "user_id AS SK_ID_CURR",
