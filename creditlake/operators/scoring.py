@@ -203,46 +203,42 @@ def register(registrations: DataFrame, clients: DataFrame) -> DataFrame:
     national id; otherwise it creates the next number after the largest known. Empty keys never match, and a
     registration that was matched does not lend its own keys to later ones.
 
-    Each round decides every row whose earlier key-sharers are all decided: keys are reduced to their first undecided
-    and their creating row by partial aggregates, so a key held by a third of the rows is one row per task. Rounds
-    end when nothing is undecided; their number is the length of the longest chain of alternating keys.
+    A row with an earlier owner can never create; a row without one creates once no earlier row that might still create
+    shares its keys. Each round finds owners, reduces each key to its first possible creator with partial aggregates
+    (a key held by a third of the rows is one row per task), and decides. Rounds end when nothing is undecided.
     """
+    keys = ("email", "dni")
+    me = F.col("registration_id")
     pending = durable(normalised_registrations(registrations))
-    created, matched = None, []
+    fields, created, matched = pending.columns, None, []
     while True:
-        by_key = {}
-        for key in ("email", "dni"):
-            held = pending.where(F.col(key) != "").groupBy(key).agg(F.min("registration_id").alias(f"first_{key}"))
-            by_key[key] = held
         view = pending
-        for key, held in by_key.items():
+        for key in keys:
+            if created is None:
+                view = view.withColumn(f"owner_{key}", F.lit(None).cast("long"))
+            else:
+                owners = created.where(F.col(key) != "").select(key, me.alias(f"owner_{key}"))
+                view = view.join(owners, key, "left")
+        earlier = {key: F.when(F.col(f"owner_{key}") < me, F.col(f"owner_{key}")) for key in keys}
+        owned = durable(view.select(*fields, earlier["email"].alias("by_email"), earlier["dni"].alias("by_dni")))
+        possible = owned.where("by_email IS NULL AND by_dni IS NULL")
+        view = owned
+        for key in keys:
+            held = possible.where(F.col(key) != "").groupBy(key).agg(F.min("registration_id").alias(f"first_{key}"))
             view = view.join(held, key, "left")
-        if created is not None:
-            for key in ("email", "dni"):
-                owner = created.where(F.col(key) != "").select(key, F.col("registration_id").alias(f"owner_{key}"))
-                view = view.join(owner, key, "left")
-        else:
-            view = view.withColumns({f"owner_{k}": F.lit(None).cast("long") for k in ("email", "dni")})
-        me = F.col("registration_id")
-        owner = F.coalesce(
-            F.when(F.col("owner_email") < me, F.col("owner_email")), F.when(F.col("owner_dni") < me, F.col("owner_dni"))
-        )
-        is_first = (F.coalesce("first_email", me) == me) & (F.coalesce("first_dni", me) == me)
-        state = F.when(owner.isNotNull(), "matched").when(is_first, "created").otherwise("pending")
-        # An e-mail owner decides alone; a match by id must wait while an earlier e-mail sharer is undecided.
-        waits = owner.isNotNull() & F.col("owner_email").isNull() & (F.coalesce("first_email", me) < me)
-        judged = durable(
-            view.select(
-                *pending.columns, owner.alias("owner"), F.when(waits, F.lit("pending")).otherwise(state).alias("state")
-            )
+        clear = {key: F.coalesce(F.col(f"first_{key}") >= me, F.lit(True)) for key in keys}
+        state = (
+            F.when(F.col("by_email").isNotNull() | (F.col("by_dni").isNotNull() & clear["email"]), "matched")
+            .when(F.col("by_dni").isNull() & clear["email"] & clear["dni"], "created")
+            .otherwise("pending")
         )
-        fresh = judged.where("state = 'created'").select(*pending.columns)
+        judged = durable(view.select(*fields, F.coalesce("by_email", "by_dni").alias("owner"), state.alias("state")))
+        fresh = judged.where("state = 'created'").select(*fields)
         created = fresh if created is None else created.unionByName(fresh)
         matched.append(judged.where("state = 'matched'").select("registration_id", "owner"))
-        rest = judged.where("state = 'pending'").select(*pending.columns)
-        if rest.isEmpty():
+        pending = judged.where("state = 'pending'").select(*fields)
+        if pending.isEmpty():
             break
-        pending = rest
     numbered = running_totals(created.select("registration_id", F.lit(1).alias("one")), [], ["registration_id"], ["one"])
     top = one_row(clients.agg(F.max(CLIENT).alias("top"))).getField("top")
     numbers = numbered.select("registration_id", (top + F.col("cum_one")).alias(CLIENT))

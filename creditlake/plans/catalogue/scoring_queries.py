@@ -39,11 +39,11 @@ _TYPE = "CASE credit_type WHEN 'cash_loans' THEN 'Cash loans' WHEN 'revolving_lo
 
 
 @query("scr_whatif", statement(f"""
-SELECT request_id, sk_id_curr, 1 AS found, {settled("amt_credit_asked")} AS "AMT_CREDIT",
+SELECT request_id, r.sk_id_curr, 1 AS found, {settled("amt_credit_asked")} AS "AMT_CREDIT",
  {settled("annuity_asked")} AS "AMT_ANNUITY", {settled("COALESCE(goods_price_asked, AMT_GOODS_PRICE)")} AS "AMT_GOODS_PRICE",
  {_TYPE} AS "NAME_CONTRACT_TYPE", {settled("LEAST(AMT_CREDIT / COALESCE(NULLIF(AMT_INCOME_TOTAL, 0), 1), 50)")} AS stored_cr_inc,
  {settled("LEAST(amt_credit_asked / COALESCE(NULLIF(AMT_INCOME_TOTAL, 0), 1), 50)")} AS fresh_cr_inc
-FROM requests JOIN v_application ON sk_id_curr = SK_ID_CURR""", _REQUESTS))
+FROM requests r JOIN v_application a ON r.sk_id_curr = a.SK_ID_CURR""", _REQUESTS))
 def _what_if(spark, folder):
     features = derive_ratios(A.application(spark, folder)).select(
         C, "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "NAME_CONTRACT_TYPE", "cr_inc"
@@ -124,10 +124,17 @@ def _decision(spark, folder):
     )
 
 
+def _half_even(x: str, places: int) -> str:
+    """Round the shortest decimal text of a double half to even."""
+    v = f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 18)) * {10 ** places}"
+    tie = f"{v} - FLOOR({v}) = 0.5 AND FLOOR({v}) % 2 = 0"
+    return f"(CASE WHEN {tie} THEN FLOOR({v}) ELSE ROUND({v}) END)::DOUBLE / {10 ** places}"
+
+
 @query("scr_payoff", statement(f"""
-SELECT SK_ID_CURR, AMT_ANNUITY IS NOT NULL AS ok, FORMAT('{:.1f}', AMT_CREDIT / AMT_ANNUITY)::DOUBLE AS months,
- FORMAT('{:.2f}', FORMAT('{:.1f}', AMT_CREDIT / AMT_ANNUITY)::DOUBLE / 12)::DOUBLE AS years,
- CASE WHEN AMT_ANNUITY IS NULL THEN 'annuity inválida' END AS reason FROM v_application"""))
+SELECT SK_ID_CURR, months IS NOT NULL AS ok, months, {_half_even("months / 12", 2)} AS years,
+ CASE WHEN months IS NULL THEN 'annuity inválida' END AS reason
+FROM (SELECT SK_ID_CURR, {_half_even("AMT_CREDIT / AMT_ANNUITY", 1)} AS months FROM v_application)"""))
 def _payoff(spark, folder):
     return A.application(spark, folder).select(C, R.payoff("AMT_CREDIT", "AMT_ANNUITY").alias("p")).select(C, "p.*")
 
