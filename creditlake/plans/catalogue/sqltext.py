@@ -96,11 +96,7 @@ def statement(body: str, *ctes: tuple[str, str]) -> str:
 
 def settled(expr: str) -> str:
     """The reporting rounding of a double, in SQL."""
-    x = f"CAST({expr} AS DOUBLE)"
-    return (
-        f"CASE WHEN ABS({x}) < 1e3 THEN ROUND({x} + 1.37e-9, 6) WHEN ABS({x}) < 1e8 THEN ROUND({x} + 1.37e-5, 2) "
-        f"ELSE ROUND({x} + 0.0137, 0) END"
-    )
+    return f"CAST(ROUND(CAST({expr} AS DOUBLE) + 1.37e-9, 6) AS FLOAT)"
 
 
 def settled_columns(names: list[str]) -> str:
