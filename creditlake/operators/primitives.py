@@ -71,13 +71,18 @@ def category_counts(df: DataFrame, key: str, category: str, values: list[str], p
     return wide.toDF(key, *[f"{prefix}{v}" for v in values])
 
 
+def in_period(age: str, low: int | None, high: int) -> Column:
+    """Right-closed age period; no lower bound for None."""
+    inside = F.col(age) <= high
+    return inside if low is None else inside & (F.col(age) > low)
+
+
 def period_means(df: DataFrame, key: str, age: str, x: Column, edges: list[tuple[str, int | None, int]],
                  prefix: str) -> DataFrame:
     """Mean of x per right-closed age period, as columns, 0 where the client has no row in the period."""
     label = F.lit(None).cast("string")
     for name, low, high in edges:
-        inside = F.col(age) <= high if low is None else (F.col(age) > low) & (F.col(age) <= high)
-        label = F.when(inside, F.lit(name)).otherwise(label)
+        label = F.when(in_period(age, low, high), F.lit(name)).otherwise(label)
     names = [e[0] for e in edges]
     wide = (
         df.select(key, label.alias("period"), dbl(x).alias("x"))

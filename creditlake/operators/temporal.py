@@ -17,8 +17,8 @@ from creditlake.operators.primitives import (
     consistency,
     decayed_mean,
     entropy,
+    in_period,
     last_n_mean,
-    period_means,
     spread,
     trend,
     volatility,
@@ -171,7 +171,14 @@ def installments_temporal(payments: DataFrame) -> DataFrame:
     due = F.col("DAYS_INSTALMENT")
     late, early_by = is_late(), due - F.col("DAYS_ENTRY_PAYMENT")
     year = due >= -365
+    placed = count_when(due <= PERIODS[-1][2]) > 0
     main = payments.groupBy(CLIENT).agg(
+        *[
+            F.when(placed, F.coalesce(avg_when(in_period("DAYS_INSTALMENT", low, high), late), F.lit(0.0))).alias(
+                f"inst_late_{name}"
+            )
+            for name, low, high in PERIODS
+        ],
         F.count("SK_ID_PREV").alias("inst_count_total"),
         F.avg(late).alias("inst_late_ratio_total"),
         F.coalesce(F.avg(early_by), F.lit(0.0)).alias("inst_dbd_mean_total"),
@@ -187,9 +194,8 @@ def installments_temporal(payments: DataFrame) -> DataFrame:
         consistency(early_by).alias("inst_payment_consistency"),
         spread(early_by).alias("inst_max_payment_gap"),
     )
-    periods = period_means(payments, CLIENT, "DAYS_INSTALMENT", late, PERIODS, "inst_late_")
     last3 = last_n_mean(payments, CLIENT, 3, recent_payments_first(), late, "inst_last_3_late_ratio")
-    joined = main.join(periods, CLIENT, "left").join(last3, CLIENT, "left")
+    joined = main.join(last3, CLIENT, "left")
     return joined.withColumns(
         {
             "inst_late_trend": F.col("inst_late_ratio_1y") / (F.col("inst_late_ratio_total") + 0.001),
