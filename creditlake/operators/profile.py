@@ -178,7 +178,8 @@ def histogram(df: DataFrame, column: str, by: str, bins: int, log10: bool = Fals
     span = one_row(base.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     width = (F.col("_s.hi") - F.col("_s.lo")) / F.lit(float(bins))
     number = F.least(F.floor((F.col("x") - F.col("_s.lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)) + 1
-    placed = base.withColumn("_s", span).select(by, F.coalesce(number, F.lit(1)).alias("bin"))
+    middle = F.lit(bins // 2 + 1)  # a constant column fills the middle bin
+    placed = base.withColumn("_s", span).select(by, F.when(width == 0, middle).otherwise(number).alias("bin"))
     return placed.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("rows"))
 
 
