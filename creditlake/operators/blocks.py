@@ -36,7 +36,7 @@ def bureau_balance_block(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     )
     measures = [c for c in per_credit.columns if c != "SK_ID_BUREAU"]
     return bureau.join(per_credit, "SK_ID_BUREAU", "left").withColumns(
-        {m: F.coalesce(F.col(m), F.lit(0)) for m in measures}
+        {m: F.expr(f"coalesce(`{m}`, 0)") for m in measures}
     )
 
 
@@ -224,7 +224,7 @@ def attach(base: DataFrame, block: DataFrame, defaults: dict[str, float] | None
     features = [c for c in block.columns if c != CLIENT]
     fills = dict.fromkeys(features, 0) if defaults is None else defaults
     return base.join(block, CLIENT, "left").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items() if c in features}
+        {c: F.expr(f"coalesce(`{c}`, {v})") for c, v in fills.items() if c in features}
     )
 
 
