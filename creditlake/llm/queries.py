@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm import chat_format, exact_dedup, license_scan, mixing, packing, substring_dedup
+from creditlake.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, packing, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_map(_table(spark, folder, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +40,10 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     added = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{hard}'), (-1L, 1L, 'assistant', '{hard}') AS t(conv_id, turn, role, text)")
@@ -45,15 +53,18 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op5_source_mixing": mixing.SQL,
     "op6_license_scan": license_scan.oracle(),
     "op7_substring_dedup": substring_dedup.SQL,
