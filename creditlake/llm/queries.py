@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, packing, substring_dedup
+from creditlake.llm import chat_format, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, packing, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, folder, "documents"))
 
@@ -40,6 +44,11 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language_id.identified(docs, *language_id.learned(docs))
+
+
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, folder, "documents"))
 
@@ -55,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_extract": op4_html_extract,
     "op5_source_mixing": op5_source_mixing,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
