@@ -67,9 +67,10 @@ class Levels:
 
     def doubled(self, w: Words, r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of twice the anchor's length, extended left and right, and whether the text has so many words.
-        Any window of the run has one of the two in it, if it is at least 3 * seed - 1 long."""
-        size = 2 * self.seed
-        left, right = r.at - self.seed >= w.bounds[r.text], r.at + size <= w.bounds[r.text + 1]
+        Any window of the run has one of the two in it, if it is at least 3 * seed - 1 long; shorter windows keep the
+        anchor itself, on the right."""
+        size = 2 * self.seed if self.window >= 3 * self.seed - 1 else self.seed
+        left, right = (r.at - self.seed >= w.bounds[r.text]) & (size > self.seed), r.at + size <= w.bounds[r.text + 1]
         lo, hi = np.where(left, r.at - self.seed, r.lo), np.where(right, r.at, r.lo)
         a = sequence_hashes(w.hashes, lo, np.minimum(lo + size, len(w.hashes)))
         b = sequence_hashes(w.hashes, hi, np.minimum(hi + size, len(w.hashes)))
