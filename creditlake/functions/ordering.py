@@ -3,14 +3,16 @@
 A window with no partition key, or one keyed by a two-valued class, would pull the table into one or two tasks. The
 two routes here split the order into many slices, total each slice, and add the totals of the earlier slices:
 
-* ``rank_in_class`` orders rows pseudo-randomly by a mixed id, so equal-width slices of the mix are balanced and can be
-  named from the row alone.
+* ``rank_in_class`` orders rows pseudo-randomly by a hash of seed and id, so the slices that its top bits name are
+  balanced and can be told from the row alone.
 * ``running_totals`` orders rows by arbitrary values. The slices come from range partitioning, which samples the data,
   so the sliced rows are checkpointed once and both readers see the same slices even if an executor is lost.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,18 +21,25 @@ from pyspark.sql import functions as F
 
 from creditlake.functions.expr import col, dbl, melt
 
-MIX_MODULUS = 2147483647
-MIX_MULTIPLIER = 48271
-SEED_STEP = 69621
-SLICES = 1 << 16
+MIX_BITS = 60
+SLICE_BITS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, or a local one where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared scratch folder that the session or its context names.
+
+    Without one, a cluster is refused: executors would write to their own disks and later reads would miss rows. A
+    local session, where driver and executors are one process, gets a temporary folder that goes when it ends."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
-    return tempfile.mkdtemp(prefix="creditlake-")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="creditlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -58,9 +67,10 @@ def beside(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner")
 
 
 def mix(id_col: Column | str, seed: int = 0) -> Column:
-    """A seeded pseudo-random order key for an integer id, reproducible in any SQL engine."""
-    m = F.lit(MIX_MODULUS).cast("long")
-    return F.pmod(F.pmod(col(id_col).cast("long"), m) * F.lit(MIX_MULTIPLIER) + F.lit(seed * SEED_STEP), m)
+    """A pseudo-random number of MIX_BITS bits for a seed and an id of any type, reproducible in any SQL engine: the
+    first hex digits of the MD5 of "seed:id" (of "seed" for NULL). Seeds give unrelated orders."""
+    said = F.concat_ws(":", F.lit(str(seed)), col(id_col).cast("string"))
+    return F.conv(F.substring(F.md5(said), 1, MIX_BITS // 4), 16, 10).cast("long")
 
 
 def rank_in_class(df: DataFrame, classes: list[str], id_col: str, seed: int = 0, rank: str = "rank",
@@ -68,10 +78,9 @@ def rank_in_class(df: DataFrame, classes: list[str], id_col: str, seed: int = 0,
     """Exact 1-based rank of each row in the seeded order of its class, and the class size.
 
     One shuffle of the rows on (class, slice): the offsets join and the in-slice row number share it. The offsets table
-    has at most SLICES rows per class.
+    has at most 2 ** SLICE_BITS rows per class.
     """
-    width = MIX_MODULUS // SLICES + 1
-    mixed = df.withColumn("_mix", mix(id_col, seed)).withColumn("_slice", F.floor(F.col("_mix") / F.lit(width)))
+    mixed = df.withColumn("_mix", mix(id_col, seed)).withColumn("_slice", F.shiftright("_mix", MIX_BITS - SLICE_BITS))
     per_slice = mixed.groupBy(*classes, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     by_class = Window.partitionBy(*classes) if classes else Window.partitionBy(F.lit(0))
     before = by_class.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

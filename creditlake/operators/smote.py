@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import one_row
-from creditlake.functions.ordering import MIX_MODULUS, durable, mix, rank_in_class
+from creditlake.functions.ordering import MIX_BITS, durable, mix, rank_in_class
 
 PIVOTS = 32
 BLOCK_ROWS = 4096
@@ -143,7 +143,7 @@ def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0) -> Dat
         "base",
         "base_vec",
         (F.pmod(mix(number, seed + 1), options) + 1).cast("int").alias("place"),
-        (mix(number, seed + 2) / F.lit(float(MIX_MODULUS))).alias("gap"),
+        (mix(number, seed + 2) / F.lit(float(1 << MIX_BITS))).alias("gap"),
     )
     other = minority.select(F.col("id").alias("neighbour"), F.col("vec").alias("other_vec"))
     joined = planned.join(near, ["base", "place"]).join(other, "neighbour")

@@ -79,7 +79,7 @@ nb AS (SELECT a.id AS base, b.id AS neighbour, ROW_NUMBER() OVER (PARTITION BY a
  ORDER BY LIST_DISTANCE(a.vec, b.vec), b.id) AS place FROM mino a JOIN mino b ON a.id <> b.id),
 goal AS (SELECT GREATEST(FLOOR(ROUND(n * 0.3, 6)), p)::BIGINT AS g, p::BIGINT AS p FROM cnt),
 syn AS (SELECT s AS number, id AS base, vec, (({mix('s', 1)}) % LEAST(5, p - 1)) + 1 AS place,
- ({mix('s', 2)}) / 2147483647.0::DOUBLE AS gap
+ ({mix('s', 2)}) / 1152921504606846976.0::DOUBLE AS gap
  FROM goal, range((SELECT g - p FROM goal)) r(s), mino WHERE rk = s % p + 1),
 made AS (SELECT 'synthetic' AS kind, number AS id, syn.base, nb.neighbour,
  LIST_SUM(LIST_TRANSFORM(LIST_ZIP(syn.vec, o.vec), lambda z: z[1] + (z[2] - z[1]) * syn.gap)) AS total

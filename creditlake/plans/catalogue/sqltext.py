@@ -109,4 +109,4 @@ def settled_select(keys: list[str], names: list[str], source: str) -> str:
 
 def mix(column: str, seed: int = 0) -> str:
     """The seeded order key of an id."""
-    return f"(({column} % 2147483647) * 48271 + {seed * 69621}) % 2147483647"
+    return f"('0x' || SUBSTR(MD5(CONCAT_WS(':', '{seed}', CAST({column} AS VARCHAR))), 1, 15))::BIGINT"
