@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditlake.functions.ordering import shared_folder as scratch_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="llm-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder of spark.checkpoint.dir; see shared_folder of the library for sessions that name none."""
+    return scratch_folder(spark).rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

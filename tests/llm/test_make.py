@@ -152,7 +152,7 @@ def test_extraction_edges(spark):
 def test_license_scan_edges(spark, odd):
     mit = license_scan.TEMPLATES["mit"]
     lines = mit.replace(", ", ",\n")
-    rows = [(1, f"junk\n\n{lines}\n\nmore"), (2, "x\nreleased, under the **MIT** license\n"), (3, mit.replace("Software", "Thing")), (4, "Released under the"), (5, None), (6, mit), (2, "x\nreleased, under the **MIT** license\n")]
+    rows = [(1, f"junk\n\n{lines}\n\nmore"), (2, "x\nreleased, under the **MIT** license\n"), (3, mit.lower().replace("software", "thing").replace("the", "a")), (4, "Released under the"), (5, None), (6, mit), (2, "x\nreleased, under the **MIT** license\n")]
     got = [(r.doc_id, r.license, r.unit) for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(1, "mit", "block"), (2, "mit-notice", "line"), (3, None, None), (4, None, None), (5, None, None), (6, "mit", "line"), (2, "mit-notice", "line")], key=str)
     assert license_scan.scanned(odd).filter("license IS NOT NULL").count() == 0 and license_scan.scanned(odd.limit(0)).count() == 0
