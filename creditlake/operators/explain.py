@@ -7,12 +7,13 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-from creditlake.functions.ordering import rank_in_class, scratch_path
+from creditlake.functions.ordering import durable, rank_in_class, scratch_path
 from creditlake.operators.evaluate import roc_auc
 from creditlake.operators.models import FEATURES, LABEL, SCORE, boosted, in_parallel, scored
 
@@ -25,7 +26,7 @@ def permutation_importance(model, df: DataFrame, id_col: str, names: list[str],
     and feature, the row with that one value taken from its partner; all AUCs come from one grouped job.
     """
     arrays = df.select(id_col, LABEL, vector_to_array(FEATURES).alias("x"))
-    own = rank_in_class(arrays, [], id_col, seed).drop("class_rows")
+    own = durable(rank_in_class(arrays, [], id_col, seed).drop("class_rows"))
     parts = []
     for r in range(repeats):
         other = rank_in_class(arrays.select(id_col, F.col("x").alias("z")), [], id_col, seed + r + 1)
@@ -57,10 +58,10 @@ def drop_column_importance(train: DataFrame, test: DataFrame, names: list[str],
     def without(df: DataFrame, feature: str | None) -> DataFrame:
         if feature is None:
             return df
-        j = names.index(feature)
-        return df.withColumn(
-            FEATURES, array_to_vector(F.filter(vector_to_array(FEATURES), lambda _, i: i != j))
-        )
+        # The slicer keeps the attributes of the other columns, so categories stay categories.
+        rest = [i for i, n in enumerate(names) if n != feature]
+        sliced = VectorSlicer(inputCol=FEATURES, outputCol="_sliced", indices=rest).transform(df)
+        return sliced.drop(FEATURES).withColumnRenamed("_sliced", FEATURES)
 
     def fit(feature: str | None) -> DataFrame:
         model = boosted(**params).fit(without(train, feature))
@@ -243,15 +244,15 @@ def global_importance(attributions: DataFrame, k: int = 20) -> DataFrame:
 # ---- sampled attributions for any model
 
 
-def coalitions(features: int, samples: int, seed: int = 0) -> list[tuple[list[int], float]]:
-    """Seeded feature coalitions with their kernel weights; all of them when there are few enough."""
+def coalitions(features: int, samples: int | None, seed: int = 0) -> list[tuple[list[int], float]]:
+    """Feature coalitions with their kernel weights: a seeded sample of ``samples`` draws, or all of them for None."""
     rng = np.random.default_rng(seed)
 
     def weight(size: int) -> float:
         ways = factorial(features) // (factorial(size) * factorial(features - size))
         return (features - 1) / (ways * size * (features - size))
 
-    if 2**features - 2 <= samples:
+    if samples is None:
         masks = [[(m >> j) & 1 for j in range(features)] for m in range(1, 2**features - 1)]
         return [(m, weight(sum(m))) for m in masks]
     sizes = np.arange(1, features)
@@ -274,11 +275,17 @@ def solve_shapley(masks: np.ndarray, weights: np.ndarray, values: np.ndarray, ba
     return np.append(head, (full - base) - head.sum())
 
 
+def sampled_rows(df: DataFrame, id_col: str, rows: int = 100, seed: int = 1) -> DataFrame:
+    """A seeded random sample of exactly ``rows`` rows (all, if there are fewer)."""
+    return rank_in_class(df, [], id_col, seed=seed).where(F.col("rank") <= rows).drop("rank", "class_rows")
+
+
 def sampled_attributions(model, df: DataFrame, background: DataFrame, id_col: str, names: list[str],
-                         samples: int = 200, seed: int = 0) -> DataFrame:
+                         samples: int | None = 200, seed: int = 0) -> DataFrame:
     """Model-agnostic attributions of the rows of ``df`` against the background rows.
 
-    Both are samples of fixed size by design. A row is expanded by the coalitions and the background rows (both lists
+    ``samples`` draws of coalitions are used, or all coalitions for None, whatever the number of features. The caller
+    chooses both row sets; the background (``sampled_rows`` takes 100 by default) is part of every job. A row is expanded by the coalitions and the background rows (both lists
     are constants of the job), scored in one transform, averaged per coalition, and solved per row from those few means.
     """
     m = len(names)

@@ -24,16 +24,21 @@ from creditlake.operators.sampling import with_class_weight
 
 LABEL, FEATURES, SCORE, WEIGHT = "label", "features", "score", "weight"
 
-# Named settings of the configuration sweep: tree depth, step size, number of trees, row sample, least rows per node,
-# and the multiple of the balanced positive weight.
+# Settings of the configuration sweep, of our own for this learner: tree depth, step size, number of trees, shares of
+# rows and of features, least rows per node, and the multiple of the balanced positive weight.
 CONFIGS: dict[str, dict] = {
-    "ultra_conservative": {"maxDepth": 3, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.6, "minInstancesPerNode": 40},
-    "conservative_balanced": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 30},
-    "moderate": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
-    "high_recall": {"maxDepth": 4, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "positive_scale": 1.3},
-    "high_precision": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "positive_scale": 0.8},
-    "fast": {"maxDepth": 3, "stepSize": 0.3, "maxIter": 10},
-    "deep": {"maxDepth": 7, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 20},
+    "stumps_slow": {"maxDepth": 2, "stepSize": 0.05, "maxIter": 20, "minInstancesPerNode": 40},
+    "shallow_slow": {"maxDepth": 3, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.6, "minInstancesPerNode": 40},
+    "shallow_quick": {"maxDepth": 3, "stepSize": 0.3, "maxIter": 10},
+    "even": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 30},
+    "even_half_features": {"maxDepth": 4, "stepSize": 0.1, "maxIter": 20, "featureSubsetStrategy": "0.5"},
+    "for_recall": {"maxDepth": 4, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "positive_scale": 1.3},
+    "for_precision": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "positive_scale": 0.8},
+    "middle": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
+    "middle_fine_bins": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "maxBins": 128},
+    "middle_least_gain": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "minInfoGain": 0.001},
+    "deep_slow": {"maxDepth": 7, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 20},
+    "deep_large_leaves": {"maxDepth": 7, "stepSize": 0.1, "maxIter": 20, "minInstancesPerNode": 60},
 }
 
 
@@ -57,12 +62,26 @@ def feature_pipeline(numeric: list[str], categorical: list[str], learner) -> Pip
     return Pipeline(stages=[indexer, assembler, learner])
 
 
-def boosted(validation: str | None = None, **params) -> GBTClassifier:
+def widest_category(df: DataFrame, features: str = FEATURES) -> int:
+    """The most values that any nominal feature of an assembled vector has; 0 if its metadata names none."""
+    nominal = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    return max((len(a.get("vals", ())) or a.get("num_vals", 0) for a in nominal), default=0)
+
+
+class BoostedTrees(GBTClassifier):
+    """Boosted trees that take as many bins as the widest category of the training data needs."""
+
+    def _fit(self, dataset: DataFrame):
+        bins = max(self.getMaxBins(), widest_category(dataset, self.getFeaturesCol()), 2)
+        return GBTClassifier._fit(self.copy({self.maxBins: bins}), dataset)
+
+
+def boosted(validation: str | None = None, **params) -> BoostedTrees:
     """Gradient-boosted trees on weighted rows; with a validation flag column, boosting stops when it stops helping."""
     settings = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "validationTol": 0.001, **params}
     if validation:
         settings["validationIndicatorCol"] = validation
-    return GBTClassifier(labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, **settings)
+    return BoostedTrees(labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, **settings)
 
 
 def positive(probability: str = "probability") -> Column:
@@ -180,5 +199,13 @@ def importances(model, names: list[str]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, importance_gain double, pct_importance double")
 
 
+def average_importances(models: list[Model], names: list[str]) -> DataFrame:
+    """Gain shares averaged over models trained on the same columns, with their standard deviation."""
+    tables = reduce(DataFrame.unionByName, [importances(m, names) for m in models])
+    return tables.groupBy("feature").agg(
+        F.avg("pct_importance").alias("pct_importance"), F.stddev_pop("pct_importance").alias("pct_importance_std")
+    )
+
+
 def top_features(model, names: list[str], k: int) -> DataFrame:
     return importances(model, names).orderBy(F.desc("importance_gain"), "feature").limit(k)

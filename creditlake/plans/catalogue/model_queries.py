@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import melt, settle, settle_all
-from creditlake.functions.ordering import durable, rank_in_class, scratch_path
+from creditlake.functions.ordering import durable, scratch_path
 from creditlake.operators import explain as X
 from creditlake.operators import models as M
 from creditlake.operators import sampling as S
@@ -22,7 +22,6 @@ C, Y = "SK_ID_CURR", "TARGET"
 NUMERIC = ["AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH", "EXT_mean", "cr_inc", "cr_an", "BUREAU_COUNT", "BUREAU_DPD_RATE"]
 CATEGORICAL = ["CODE_GENDER", "OCCUPATION_TYPE"]
 NAMES = [*NUMERIC, *CATEGORICAL]
-SMALL = {"maxIter": 5, "maxDepth": 3}
 
 
 def _clients(spark, folder):
@@ -49,7 +48,7 @@ def _folded(spark, folder, k):
 def _gbt(spark, folder):
     split = S.three_way_split(_ready(spark, folder), M.LABEL, C, 0.2, 0.15, seed=7)
     split = durable(split.withColumn("held", F.col("part") == "validation"))
-    model = M.boosted("held", maxIter=15, maxDepth=3).fit(split.where("part <> 'test'"))
+    model = M.boosted("held").fit(split.where("part <> 'test'"))
     test = M.scored(model, split.where("part = 'test'"), keep=(C, M.LABEL))
     return test.withColumn("trees", F.lit(model.getNumTrees))
 
@@ -57,7 +56,7 @@ def _gbt(spark, folder):
 @query("ml_persist")
 def _persist(spark, folder):
     clients = fill_by_type(_clients(spark, folder), but=(C, Y)).withColumn(M.LABEL, F.col(Y).cast("double"))
-    learner = M.boosted(**SMALL).setWeightCol(M.WEIGHT)
+    learner = M.boosted().setWeightCol(M.WEIGHT)
     pipeline = M.feature_pipeline(NUMERIC, CATEGORICAL, learner)
     path = scratch_path(spark, "pipeline-model")
     weighted = durable(S.with_class_weight(clients, M.LABEL, M.WEIGHT))
@@ -67,21 +66,20 @@ def _persist(spark, folder):
 
 @query("ml_kfold_auc")
 def _kfold(spark, folder):
-    oof = M.out_of_fold(_folded(spark, folder, 5), M.boosted(**SMALL), 5, [C, M.LABEL, "fold"])
+    oof = M.out_of_fold(_folded(spark, folder, 5), M.boosted(), 5, [C, M.LABEL, "fold"])
     return M.fold_aucs(oof)
 
 
 @query("ml_config_sweep")
 def _sweep(spark, folder):
     train, test = _parts(spark, folder)
-    chosen = {n: {**p, "maxIter": 5} for n, p in M.CONFIGS.items()}
-    return M.config_sweep(train, test, chosen)
+    return M.config_sweep(train, test, M.CONFIGS)
 
 
 @query("ml_random_search")
 def _random(spark, folder):
     train, test = _parts(spark, folder)
-    return M.config_sweep(train, test, M.random_configs(6, max_trees=6, seed=3))
+    return M.config_sweep(train, test, M.random_configs(6, seed=3))
 
 
 @query("ml_mlp")
@@ -92,8 +90,8 @@ def _mlp(spark, folder):
 
 def _oof_pair(spark, folder):
     folded = _folded(spark, folder, 3)
-    first = M.out_of_fold(folded, M.boosted(**SMALL), 3, [C, M.LABEL, "fold"], "score_shallow")
-    second = M.out_of_fold(folded, M.boosted(maxIter=5, maxDepth=5), 3, [C], "score_deep")
+    first = M.out_of_fold(folded, M.boosted(), 3, [C, M.LABEL, "fold"], "score_shallow")
+    second = M.out_of_fold(folded, M.boosted(maxDepth=6), 3, [C], "score_deep")
     return durable(first.join(second, C))
 
 
@@ -122,40 +120,46 @@ def _isotonic(spark, folder):
 @query("exp_gain")
 def _gain(spark, folder):
     train, _ = _parts(spark, folder)
-    return M.top_features(M.boosted(**SMALL).fit(train), NAMES, 30)
+    return M.top_features(M.boosted().fit(train), NAMES, 30)
+
+
+@query("exp_gain_average")
+def _gain_average(spark, folder):
+    train, _ = _parts(spark, folder)
+    learners = [M.boosted(maxDepth=3), M.boosted(maxDepth=6)]
+    return M.average_importances(M.in_parallel([lambda b=b: b.fit(train) for b in learners]), NAMES)
 
 
 @query("sel_importance")
 def _importance(spark, folder):
     balanced = durable(S.undersample(_ready(spark, folder), M.LABEL, C, 1.0, seed=7))
-    return M.top_features(M.boosted(**SMALL).fit(balanced), NAMES, 5)
+    return M.top_features(M.boosted().fit(balanced), NAMES, 5)
 
 
 @query("exp_permutation")
 def _permutation(spark, folder):
     train, test = _parts(spark, folder)
-    return X.permutation_importance(M.boosted(**SMALL).fit(train), test, C, NAMES)
+    return X.permutation_importance(M.boosted().fit(train), test, C, NAMES)
 
 
 @query("exp_drop_column")
 def _drop_column(spark, folder):
     train, test = _parts(spark, folder)
-    top = [r["feature"] for r in M.top_features(M.boosted(**SMALL).fit(train), NAMES, 50).collect()]
-    return X.drop_column_importance(train, test, NAMES, top, **SMALL)
+    top = [r["feature"] for r in M.top_features(M.boosted().fit(train), NAMES, 50).collect()]
+    return X.drop_column_importance(train, test, NAMES, top)
 
 
 @query("exp_tree_shap")
 def _tree_shap(spark, folder):
     train, test = _parts(spark, folder)
-    return X.tree_attributions(M.boosted(**SMALL).fit(train), test, C, NAMES)
+    return X.tree_attributions(M.boosted().fit(train), test, C, NAMES)
 
 
 @query("exp_sampled_shapley")
 def _sampled(spark, folder):
     train, test = _parts(spark, folder)
-    model = M.boosted(**SMALL).fit(train)
-    background = rank_in_class(train, [], C, seed=1).where("rank <= 100")
-    explained = rank_in_class(test, [], C, seed=2).where("rank <= 500")
+    model = M.boosted().fit(train)
+    background, explained = X.sampled_rows(train, C, 100, seed=1), X.sampled_rows(test, C, 500, seed=2)
     return X.sampled_attributions(model, explained, background, C, NAMES, samples=200)
 
 

@@ -223,7 +223,7 @@ def test_tree_attributions_add_up(spark):
     gap = total.join(scores, "id").agg(F.max(F.abs(F.col("margin") - F.col("logit"))).alias("g"))
     assert one(gap)["g"] < 1e-6
     assert one(E.roc_auc(M.scored(model, rows, keep=("label",)), "label", "score"))["auc"] > 0.9
-    kernel = EX.sampled_attributions(model, rows.limit(3), rows.limit(10), "id", ["a", "b", "c"], 50).groupBy("id").agg(
+    kernel = EX.sampled_attributions(model, rows.limit(3), rows.limit(10), "id", ["a", "b", "c"], None).groupBy("id").agg(
         (F.sum("attribution") + F.max("base") - F.max("full")).alias("d"))
     assert max(abs(r["d"]) for r in kernel.collect()) < 1e-9
 
