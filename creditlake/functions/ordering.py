@@ -58,12 +58,25 @@ BROADCAST_ROWS = 100_000
 
 
 def beside(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a table expected to be small, such as one row per class. It is materialised and counted first: only within
+    """Join a table expected to be small, such as one row per class (a NULL class is a class). It is materialised and counted first: only within
     BROADCAST_ROWS is it broadcast, which spares the large side a shuffle on a two-valued key; else a shuffle join."""
     kept = durable(small)
     if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         kept = F.broadcast(kept)
-    return df.join(kept, keys, how)
+    return join_null_safe(df, kept, keys, how)
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is a value like any other; columns as a join by name gives them."""
+    on = None
+    for k in keys:
+        same = F.col(k) == F.col(f"_k_{k}")
+        if df.schema[k].nullable and other.schema[k].nullable:
+            same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = same if on is None else on & same
+    renamed = other.select(*[F.col(c).alias(f"_k_{c}" if c in keys else c) for c in other.columns])
+    rest = [c for c in df.columns if c not in keys]
+    return df.join(renamed, on, how).select(*keys, *rest, *[c for c in other.columns if c not in keys])
 
 
 def mix(id_col: Column | str, seed: int = 0) -> Column:
@@ -119,7 +132,7 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], sums: lis
     )
     so_far = Window.partitionBy(*groups, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.join(offsets, [*groups, "_slice"])
+        join_null_safe(ranged, offsets, [*groups, "_slice"])
         .withColumns({f"cum_{s}": F.col(f"_b_{s}") + F.sum(s).over(so_far) for s in sums})
         .drop("_slice", *[f"_b_{s}" for s in sums])
     )

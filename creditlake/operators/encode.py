@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import dbl, flag, melt, one_row, ratio, row_sum
-from creditlake.functions.ordering import beside, exact_quantiles
+from creditlake.functions.ordering import beside, durable, exact_quantiles, running_totals
 from creditlake.operators.cleaning import MISSING
 
 
@@ -14,25 +14,40 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
 
 
-def category_lists(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row holding the sorted categories of each column, NULL counted as 'missing'."""
-    return df.agg(*[F.sort_array(F.collect_set(_text(c))).alias(c) for c in columns])
+def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value, code): the place of each category in the sorted categories of its column, from 0; NULL counts as
+    'missing'. Distinct values are numbered slice by slice, so none of them is gathered in one task."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), _text(c).alias("value")) for c in columns])
+    values = df.select(F.inline(pairs)).distinct().withColumn("one", F.lit(1))
+    placed = running_totals(values, ["feature"], ["value"], ["one"])
+    return placed.select("feature", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: list[str], reference: DataFrame | None = None, unknown: int = -1) -> DataFrame:
-    """Replace categories by their place in the sorted category list of the reference rows."""
-    lists = one_row(category_lists(df if reference is None else reference, columns))
-    coded = {}
+    """Replace categories by their place in the sorted categories of the reference rows.
+
+    Each column is joined with its dictionary, which is broadcast only if it is small."""
+    codes = durable(category_codes(df if reference is None else reference, columns))
+    out = df
     for c in columns:
-        place = F.array_position(F.col(f"_c.{c}"), _text(c)) - 1
-        coded[c] = F.when(place >= 0, place).otherwise(F.lit(unknown)).cast("int")
-    return df.withColumn("_c", lists).withColumns(coded).drop("_c")
+        own = codes.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        out = beside(out.withColumn("_value", _text(c)), own, ["_value"], "left")
+        out = out.withColumn(c, F.coalesce("_code", F.lit(unknown))).select(*df.columns)
+    return out
+
 
+MOST_LEVELS = 1000
 
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """0/1 columns per category but the first; NULL is in none. The category names become column names, so the (few)
-    names are read first."""
-    levels = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
+
+def one_hot(df: DataFrame, columns: list[str], most: int = MOST_LEVELS) -> DataFrame:
+    """0/1 columns per category but the first; NULL is in none. The category names become column names, so the names are
+    read first; a column of more than ``most`` categories is refused, and no more than that is read."""
+    levels = {}
+    for c in columns:
+        found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"{c} has more than {most} categories")
+        levels[c] = sorted(found, key=lambda v: v.encode() if isinstance(v, str) else v)
     coded = [flag(F.col(c) == v).alias(f"{c}_{v}") for c in columns for v in levels[c][1:]]
     return df.select(*[F.col(c) for c in df.columns if c not in columns], *coded)
 

@@ -56,13 +56,9 @@ def overdue_days(paid: str, due: str) -> Column:
 def entropy(df: DataFrame, key: str, category: str, name: str, guard: float = 1e-10) -> DataFrame:
     """Shannon entropy of a category per key: counts per (key, category), then one sum per key."""
     counts = df.where(F.col(category).isNotNull()).groupBy(key, category).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(key).agg(F.sum("n").alias("all"), F.collect_list("n").alias("ns"))
-    term = F.aggregate(
-        "ns",
-        F.lit(0.0),
-        lambda acc, n: acc - n / F.col("all") * F.log(n / F.col("all") + F.lit(guard)),
-    )
-    return totals.select(key, term.alias(name))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(key))
+    shares = counts.select(key, share.alias("p"))
+    return shares.groupBy(key).agg(F.sum(-F.col("p") * F.log(F.col("p") + F.lit(guard))).alias(name))
 
 
 def category_counts(df: DataFrame, key: str, category: str, values: list[str], prefix: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations_with_replacement
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,17 +160,34 @@ def t_test(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 
 def with_p_value(tests: DataFrame) -> DataFrame:
-    """Two-sided Student p-value of each test row (one row per tested column)."""
-    spark = tests.sparkSession
-    rows = tests.select("feature", "t_stat", "dof").collect()
-    student = spark.sparkContext._jvm.org.apache.commons.math3.distribution.TDistribution
-    table = [
-        (r["feature"], 2.0 * student(float(r["dof"])).cumulativeProbability(-abs(r["t_stat"])))
-        for r in rows
-        if r["t_stat"] is not None and r["dof"] > 0
-    ]
-    p_values = spark.createDataFrame(table, "feature string, p_value double")
-    return tests.join(F.broadcast(p_values), "feature", "left")
+    """Two-sided Student p-value of each test row; NULL without a statistic or degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([_two_sided(x, n) if pd.notna(x) and n > 0 else None for x, n in zip(t, dof)], dtype="float64")
+
+    return tests.withColumn("p_value", p_value("t_stat", dbl("dof")))
+
+
+def _two_sided(t: float, dof: float) -> float:
+    """P(|T| >= |t|) of Student's distribution: the incomplete beta function at dof / (dof + t^2), by the continued
+    fraction of the side where it converges quickly."""
+    a, b, x = dof / 2, 0.5, dof / (dof + t * t)
+    if x in (0.0, 1.0):
+        return x
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_fraction(b, a, 1 - x)
+    return _beta_fraction(a, b, x)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 1.0
+    for m in range(300, 0, -1):
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1 + odd / (1 + even / value)
+    return front / value
 
 
 def histogram(df: DataFrame, column: str, by: str, bins: int, log10: bool = False) -> DataFrame:

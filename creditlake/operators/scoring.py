@@ -27,9 +27,9 @@ BAD_CREDIT, BAD_ANNUITY = "amt_credit inválido", "annuity inválida"
 # ---- contract
 
 
-def infer_contract(df: DataFrame, but: tuple[str, ...] = (CLIENT, TARGET)) -> DataFrame:
+def infer_contract(df: DataFrame, but: tuple[str, ...] = (CLIENT, TARGET), most: int = MOST_CATEGORIES) -> DataFrame:
     """One row per feature: name, dtype ('num' or 'cat'), position and, for categories, the sorted values with
-    'missing' last if absent; NULL when there are more than fifty.
+    'missing' last if absent; NULL, which allows any value, when there are more than ``most``.
 
     The category values of a column are ranked and cut just above the limit before they are gathered, so a column of
     unbounded variety is recognised without being collected.
@@ -45,10 +45,10 @@ def infer_contract(df: DataFrame, but: tuple[str, ...] = (CLIENT, TARGET)) -> Da
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cats])
     values = df.select(F.inline(pairs)).where("value IS NOT NULL").distinct()
     w = Window.partitionBy("name").orderBy("value")
-    few = values.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= MOST_CATEGORIES + 1)
+    few = values.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most + 1)
     lists = few.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("v"))
     whole = F.when(F.array_contains("v", MISSING), F.col("v")).otherwise(F.concat("v", F.array(F.lit(MISSING))))
-    found = lists.select("name", F.when(F.size(whole) <= MOST_CATEGORIES, whole).alias("allowed"))
+    found = lists.select("name", F.when(F.size(whole) <= most, whole).alias("allowed"))
     joined = fields.join(found, "name", "left")
     empty = F.when(F.col("dtype") == "cat", F.array(F.lit(MISSING)))
     none_seen = joined.join(lists.select("name", F.lit(1).alias("_seen")), "name", "left")
@@ -196,35 +196,42 @@ def normalised_registrations(registrations: DataFrame) -> DataFrame:
     )
 
 
-def register(registrations: DataFrame, clients: DataFrame) -> DataFrame:
-    """Client number of every registration, in order of registration_id.
+def register(registrations: DataFrame, clients: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Client number of every registration, in order of registration_id (not negative).
 
     A registration takes the client of an earlier one that created a client under the same e-mail, else under the same
-    national id; otherwise it creates the next number after the largest known. Empty keys never match, and a
-    registration that was matched does not lend its own keys to later ones.
+    national id; otherwise it creates the next number after the largest known. ``existing`` (SK_ID_CURR, email, dni) are
+    people registered before: they come before all, and of several with one key the lowest number counts. Empty keys
+    never match, and a registration that was matched does not lend its own keys to later ones.
 
     A row with an earlier owner can never create; a row without one creates once no earlier row that might still create
-    shares its keys. Each round finds owners, reduces each key to its first possible creator with partial aggregates
-    (a key held by a third of the rows is one row per task), and decides. Rounds end when nothing is undecided.
+    shares its keys. Each round finds owners among those just created, reduces each key to its first possible creator
+    with partial aggregates (a key held by a third of the rows is one row per task), and decides. Rounds end when
+    nothing is undecided. An empty key is replaced by one of its own for each row, so that it neither matches nor
+    gathers in one task.
     """
-    keys = ("email", "dni")
-    me = F.col("registration_id")
-    pending = durable(normalised_registrations(registrations))
-    fields, created, matched = pending.columns, None, []
+    keys, me = ("email", "dni"), F.col("registration_id")
+    known = normalised_registrations(registrations)
+    own = {k: F.when(F.col(k) != "", F.col(k)).otherwise(F.concat(F.lit("\0"), me.cast("string"))) for k in keys}
+    pending = durable(known.select("registration_id", *[own[k].alias(k) for k in keys], *[F.lit(None).cast("long").alias(f"by_{k}") for k in keys]))
+    top = clients.agg(F.max(CLIENT).alias("top"))
+    fresh = None
+    if existing is not None:
+        # Numbers of earlier people are held as negative owners, which are before every registration.
+        fresh = existing.select((-F.col(CLIENT).cast("long")).alias("registration_id"), normal_email("email").alias("email"), normal_id("dni").alias("dni"))
+        top = top.unionByName(existing.agg(F.max(CLIENT).alias("top"))).agg(F.max("top").alias("top"))
+    created, matched = [], []
     while True:
         view = pending
-        for key in keys:
-            if created is None:
-                view = view.withColumn(f"owner_{key}", F.lit(None).cast("long"))
-            else:
-                owners = created.where(F.col(key) != "").select(key, me.alias(f"owner_{key}"))
-                view = view.join(owners, key, "left")
-        earlier = {key: F.when(F.col(f"owner_{key}") < me, F.col(f"owner_{key}")) for key in keys}
-        owned = durable(view.select(*fields, earlier["email"].alias("by_email"), earlier["dni"].alias("by_dni")))
+        for key in keys if fresh is not None else ():
+            owners = durable(fresh.where(F.col(key) != "").groupBy(key).agg(F.max("registration_id").alias("owner")))
+            view = view.join(owners, key, "left")
+            view = view.withColumn(f"by_{key}", F.coalesce(f"by_{key}", F.when(F.col("owner") < me, F.col("owner")))).drop("owner")
+        owned = durable(view.select(*pending.columns)) if fresh is not None else pending
         possible = owned.where("by_email IS NULL AND by_dni IS NULL")
         view = owned
         for key in keys:
-            held = possible.where(F.col(key) != "").groupBy(key).agg(F.min("registration_id").alias(f"first_{key}"))
+            held = durable(possible.groupBy(key).agg(F.min("registration_id").alias(f"first_{key}")))
             view = view.join(held, key, "left")
         clear = {key: F.coalesce(F.col(f"first_{key}") >= me, F.lit(True)) for key in keys}
         state = (
@@ -232,18 +239,17 @@ def register(registrations: DataFrame, clients: DataFrame) -> DataFrame:
             .when(F.col("by_dni").isNull() & clear["email"] & clear["dni"], "created")
             .otherwise("pending")
         )
-        judged = durable(view.select(*fields, F.coalesce("by_email", "by_dni").alias("owner"), state.alias("state")))
-        fresh = judged.where("state = 'created'").select(*fields)
-        created = fresh if created is None else created.unionByName(fresh)
+        judged = durable(view.select(*pending.columns, F.coalesce("by_email", "by_dni").alias("owner"), state.alias("state")))
+        fresh = judged.where("state = 'created'").select("registration_id", *keys)
+        created.append(fresh.select("registration_id"))
         matched.append(judged.where("state = 'matched'").select("registration_id", "owner"))
-        pending = judged.where("state = 'pending'").select(*fields)
+        pending = judged.where("state = 'pending'").select(*pending.columns)
         if pending.isEmpty():
             break
-    numbered = running_totals(created.select("registration_id", F.lit(1).alias("one")), [], ["registration_id"], ["one"])
-    top = one_row(clients.agg(F.max(CLIENT).alias("top"))).getField("top")
-    numbers = numbered.select("registration_id", (top + F.col("cum_one")).alias(CLIENT))
-    owners = created.select("registration_id", F.col("registration_id").alias("owner"))
-    everyone = reduce(DataFrame.unionByName, matched, owners)
-    return everyone.join(
-        numbers.select(F.col("registration_id").alias("owner"), CLIENT), "owner"
-    ).select("registration_id", CLIENT, (F.col("registration_id") == F.col("owner")).cast("int").alias("is_new"))
+    makers = reduce(DataFrame.unionByName, created)
+    numbered = running_totals(makers.withColumn("one", F.lit(1)), [], ["registration_id"], ["one"])
+    last = F.coalesce(one_row(top).getField("top"), F.lit(0))
+    numbers = numbered.select(F.col("registration_id").alias("owner"), (last + F.col("cum_one")).alias(CLIENT))
+    everyone = reduce(DataFrame.unionByName, matched, makers.withColumn("owner", me))
+    number = F.when(F.col("owner") < 0, -F.col("owner")).otherwise(F.col(CLIENT))
+    return everyone.join(numbers, "owner", "left").select("registration_id", number.alias(CLIENT), (me == F.col("owner")).cast("int").alias("is_new"))

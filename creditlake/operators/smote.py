@@ -8,6 +8,8 @@ size, so a cell holding a third of all points is many tasks. The result is exact
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from creditlake.functions.expr import one_row
 from creditlake.functions.ordering import MIX_BITS, durable, mix, rank_in_class
 
-PIVOTS = 32
+MOST_PIVOTS = 4096
 BLOCK_ROWS = 4096
 
 
@@ -25,7 +27,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    out = np.empty((len(a), len(b)))
+    step = max(1, (1 << 22) // max(1, b.size))
+    for start in range(0, len(a), step):
+        out[start : start + step] = np.sqrt(((a[start : start + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return out
 
 
 def _cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -40,13 +46,16 @@ def _cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.mapInPandas(assign, "id long, vec array<double>, cell int, reach double")
 
 
-def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(points: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, place 1..k, neighbour, distance): the k nearest other points of every point, ties by lower id.
 
-    ``points`` has ``id`` (long) and ``vec`` (array of doubles). What reaches the driver is the pivots and one line per
-    cell, both bounded by ``pivots``.
+    ``points`` has ``id`` (long) and ``vec`` (array of doubles). There are as many ``pivots`` as the square root of the
+    rows unless given, MOST_PIVOTS at most, so cells and the cells asked both stay small; what reaches the driver is the
+    pivots and one line per cell. Vectors of many dimensions without clusters lie about equally far from each other: no
+    exact method excludes much then, and the work nears the square of the rows.
     """
     points = durable(points.select("id", "vec"))
+    pivots = pivots or min(MOST_PIVOTS, max(1, math.isqrt(points.count())))
     chosen = rank_in_class(points, [], "id", seed=1).where(F.col("rank") <= pivots).select("vec").collect()
     pivot = np.array([r["vec"] for r in chosen], dtype=float)
     placed = durable(_cells(points, pivot))

@@ -344,6 +344,11 @@ def _ttest(spark, folder):
     return out.withColumns({c: settle(c) for c in ("mean0", "mean1", "t_stat")})
 
 
+@query("stat_ttest_p")
+def _ttest_p(spark, folder):
+    return P.with_p_value(P.t_test(A.application(spark, folder), _NUM, "TARGET"))
+
+
 @query("stat_histogram", """
 WITH v AS (SELECT toxic AS y, LOG10(n_chars) AS x FROM labels JOIN documents USING (doc_id)),
 s AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM v)
