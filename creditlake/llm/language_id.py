@@ -140,7 +140,7 @@ class Labeller:
         found = np.zeros((len(new), len(self.net.w["b"]) + 1))
         by: dict[int, list[tuple[int, bytes]]] = {}
         for i, word in enumerate(new):
-            for x in windows(word):
+            for x in windows(word) if word.isalpha() or any(map(str.isalpha, word)) else ():  # not of ² or Ⅷ alone
                 by.setdefault(len(x), []).append((i, x))
         for n, own in by.items():
             for at in range(0, len(own), BATCH):

@@ -192,6 +192,8 @@ def test_language_edges(spark, odd):
     got = {(r.doc_id, r.lang_pred): r for r in language_id.identified(odd, *known).collect()}
     assert {k for k, lang in got if lang == "und"} == {3, 4, 5, 10} and all(r.score == 0 for (_, lang), r in got.items() if lang == "und")
     assert language_id.recognised(odd, *known).count() == 11 and language_id.recognised(odd, *known).dtypes == odd.dtypes
+    signs = spark.createDataFrame([(1, "²³ Ⅷ ½"), (2, "m²")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.identified(signs, *known).orderBy("doc_id").collect()] == [True, False]
     none = language_id.learned(odd.limit(0))
     assert none[0] == [] and {r.lang_pred for r in language_id.identified(odd, *none).collect()} == {"und"}
 
