@@ -123,19 +123,69 @@ def nearest(points: DataFrame, k: int, pivots: int | None = None, block_rows: in
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def nearest_hashed(points: DataFrame, k: int, tables: int = 8, bucket_rows: int = 1024, seed: int = 0) -> DataFrame:
+    """(id, place, neighbour, distance) like ``nearest``, among points that share a bucket in one of the tables.
+
+    For wide vectors, where the exact search nears the square of the rows: work is rows times tables times bucket_rows.
+    A bucket is the sides on which a point lies of planes half way between two sample points each; there are about
+    rows / bucket_rows buckets a table, and one of over twice that size is dealt into parts by a hash of the id. Near
+    neighbours in clusters are found almost always; a point may get fewer than k. The driver holds the planes.
+    """
+    points = durable(points.select("id", "vec"))
+    rows = points.count()
+    bits = max(1, math.ceil(math.log2(max(2, rows / bucket_rows))))
+    chosen = rank_in_class(points, [], "id", seed).where(F.col("rank") <= 2 * tables * bits).orderBy("rank").select("vec").collect()
+    rng = np.random.default_rng(seed)
+    sample = np.array([r["vec"] for r in chosen], dtype=float)
+    pairs = np.array([rng.choice(len(sample), 2, replace=len(sample) < 2) for _ in range(tables * bits)]) if len(sample) else None
+
+    def hashed(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _matrix(pdf["vec"])
+            first, second = sample[pairs[:, 0]], sample[pairs[:, 1]]
+            normal = first - second
+            side = x @ normal.T > (normal * (first + second)).sum(axis=1) / 2
+            code = side.reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            for t in range(tables):
+                yield pdf.assign(table=t, code=code[:, t])
+
+    coded = durable(points.mapInPandas(hashed, "id long, vec array<double>, table int, code long"))
+    parts = coded.groupBy("table", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * bucket_rows)).alias("parts"))
+    dealt = coded.join(durable(parts), ["table", "code"]).withColumn("part", F.pmod(mix("id", seed + 1), F.col("parts")))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, mat, out = pdf["id"].to_numpy(), _matrix(pdf["vec"]), []
+        for start in range(0, len(ids), 256):
+            d = _distances(mat[start : start + 256], mat)
+            d[ids[start : start + 256, None] == ids[None, :]] = np.inf
+            first = d.argsort(axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, first, axis=1).ravel()
+            out.append(pd.DataFrame({"id": np.repeat(ids[start : start + 256], first.shape[1]), "neighbour": ids[first.ravel()], "distance": dist}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["distance"])]
+
+    found = dealt.groupBy("table", "code", "part").applyInPandas(search, "id long, neighbour long, distance double")
+    w = Window.partitionBy("id").orderBy("distance", "neighbour")
+    distinct = found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+    return distinct.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def interpolate(a: Column, b: Column, gap: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + (y - x) * gap)
 
 
-def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0) -> DataFrame:
+def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0, hashed: bool = False) -> DataFrame:
     """``wanted`` synthetic rows (a column that is constant over the rows) between minority rows and their neighbours.
 
     Row number s of the synthetic rows starts from base row s mod n in seeded order and takes a seeded neighbour and
-    gap, so each base is used about equally often.
+    gap, so each base is used about equally often. With ``hashed`` neighbours come from ``nearest_hashed``; a base then
+    draws among those that it has, and one that has none gives no rows.
     """
-    near = nearest(minority, k).select(
-        F.col("id").alias("base"), F.col("place"), F.col("neighbour")
-    )
+    near = nearest_hashed(minority, k, seed=seed) if hashed else nearest(minority, k)
+    near = near.select(F.col("id").alias("base"), F.col("place"), F.col("neighbour"))
     ranked = rank_in_class(minority.select("id", "vec"), [], "id", seed)
     repeats = F.floor((wanted - F.col("rank")) / F.col("class_rows"))
     drawn = ranked.where(repeats >= 0).select(
@@ -147,6 +197,9 @@ def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0) -> Dat
     )
     number = F.col("rank") - 1 + F.col("round") * F.col("class_rows")
     options = F.least(F.lit(k), F.col("class_rows") - 1)
+    if hashed:
+        have = near.groupBy("base").agg(F.max("place").alias("have"))
+        drawn, options = drawn.join(have, "base"), F.col("have")
     planned = drawn.select(
         number.alias("number"),
         "base",

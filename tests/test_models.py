@@ -14,7 +14,7 @@ from creditlake.operators import history as H
 from creditlake.operators import models as M
 from creditlake.operators import scoring as R
 from creditlake.operators.profile import _two_sided
-from creditlake.operators.smote import nearest, smote
+from creditlake.operators.smote import nearest, nearest_hashed, smote
 from creditlake.sources import schemas
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,6 +54,20 @@ def test_neighbours_with_as_many_pivots_as_the_root_of_the_rows(spark):
     assert all(abs(got[i, k + 1] - want[i, k]) < 1e-9 for i in range(400) for k in range(3))
 
 
+def test_hashed_neighbours_of_wide_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(80, 64))
+    pts = centres[rng.integers(80, size=1600)] + 0.1 * rng.normal(size=(1600, 64))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, vec array<double>")
+    got = {(r["id"], r["neighbour"]) for r in nearest_hashed(df, 5, bucket_rows=100).collect()}
+    d = ((pts[:, None] - pts[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i, row in enumerate(d.argsort(axis=1)[:, :5]) for j in row}
+    assert len(got & want) >= 0.9 * len(want)
+    made = smote(df.where("id < 200"), F.lit(300), 5, 3, hashed=True)
+    assert made.count() == 300 and made.where("base = neighbour").count() == 0
+
+
 @pytest.fixture(scope="module")
 def wide(spark):
     df = spark.range(1200).select("id", (F.col("id") % 58).cast("string").alias("kind"), F.rand(1).alias("a"), F.rand(2).alias("b"))
