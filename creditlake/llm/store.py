@@ -32,8 +32,9 @@ def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:
 def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, share: int = 512) -> DataFrame:
     """rows joined with the one row that groups has for each key, however many rows a key has.
 
-    Keys with over 1/share of all rows are fewer than share, so theirs is a broadcast of proven size; all other keys
-    meet in a shuffle join, where none of them can fill a partition. Null keys match nothing."""
+    total is the sum of size over all groups, or more: so keys with over 1/share of it are fewer than share, and theirs
+    is a broadcast of proven size. All other keys meet in a shuffle join, where none of them can fill a partition. Null
+    keys match nothing."""
     large = F.col(size) * share > F.lit(total)
     hot = F.broadcast(groups.filter(large))
     cold = groups.filter(~large)

@@ -235,7 +235,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = found.select("h", F.explode("w").alias("w"), "n").groupBy("h", "w").agg(F.sum("n").alias("times")).filter("times > 1")
     each = staged(each, "repeated")
     asked = found.filter("n = 1").select("h", "a", "b", F.posexplode("w").alias("i", "w"))
-    known = with_groups(asked, each, ["h", "w"], "times", max(1, each.count()))
+    known = with_groups(asked, each, ["h", "w"], "times", each.agg(F.sum("times")).first()[0] or 1)
     masks = found.filter("n = 1").select("a", "b").unionByName(runs.filter("n = 1").select("a", "b")).distinct()
     masks = masks.join(known.groupBy("a", "b").agg(F.collect_list("i").alias("hit")), ["a", "b"], "left")
     masks = staged(masks.select("a", "b", F.coalesce("hit", F.array().cast("array<int>")).alias("hit")), "masks")
