@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +26,9 @@ def _flagged(rows: DataFrame, hashes: DataFrame, total: int, most_cells: int) ->
     """rows (with dedup_hash) plus dedup_maybe: whether another row may have the same hash."""
     shared = rows.sparkSession.sparkContext.broadcast(bloom.filter_of(hashes, "dedup_hash", total, True, most_cells))
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.has(shared.value, h.to_numpy().view("uint64")))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(bloom.has(shared.value, h.to_numpy().view("uint64")))
 
     return rows.withColumn("dedup_maybe", maybe("dedup_hash"))
 

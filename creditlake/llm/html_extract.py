@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from creditlake.llm.html_tree import Node, Page, parsed
+from creditlake.llm.store import tidy
 
 _TAGS = ("page", "html", "body", "article", "main", "section", "nav", "aside", "header", "footer", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "form", "blockquote", "pre", "figure")
 _HINTS = tuple(re.compile(p) for p in (
@@ -210,4 +211,4 @@ def extracted(pages: DataFrame, id_cols: Sequence[str] = ("page_id", "url"), htm
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(id_cols)], pa.array(texts, pa.string())], names=[*id_cols, "text"])
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in id_cols)
-    return pages.select(*id_cols, html_col).mapInArrow(run, f"{kinds}, text string")
+    return pages.select(*id_cols, html_col).mapInArrow(tidy(run), f"{kinds}, text string")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from creditlake.llm import bloom
 from creditlake.llm.graph import components
-from creditlake.llm.store import partitions, staged, with_groups
+from creditlake.llm.store import partitions, staged, tidy, with_groups
 from creditlake.llm.tiles import links
 from creditlake.llm.word_hash import SEQUENCE, Words, pieces, sequence_hashes, words_of
 
@@ -78,7 +77,7 @@ def _classes(docs: DataFrame, shingle: int, trees: int, depth: int) -> tuple[Dat
                 yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, _keys(w)), pa.array(np.diff(w.bounds)), lists], names=["id", "ka", "kb", "n_words", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = staged(docs.select("id", "text").mapInArrow(run, f"id {kind}, ka long, kb long, n_words long, keys array<long>"), "signatures")
+    rows = staged(docs.select("id", "text").mapInArrow(tidy(run), f"id {kind}, ka long, kb long, n_words long, keys array<long>"), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     classes = rows.filter("n_words > 0").groupBy("ka", "kb").agg(F.count("*").alias("size"), first.alias("least"), F.first("keys").alias("keys"))
     classes = classes.select("ka", "kb", "size", F.col("least.id").alias("first"), "keys").withColumn("node", F.monotonically_increasing_id())
@@ -121,7 +120,7 @@ def candidates(classes: DataFrame, trees: int) -> DataFrame:
         if last is not None:
             yield edge([(*last, node)])
 
-    found = staged(rows.mapInArrow(run, "u long, v long, part long, tree long, key long"), "neighbours")
+    found = staged(rows.mapInArrow(tidy(run), "u long, v long, part long, tree long, key long"), "neighbours")
     ends = sorted((r.part, i, r.tree, r.key, r.u) for i, r in enumerate(found.filter("part is not null").collect()))
     across = [(a[4], b[4]) for a, b in zip(ends, ends[1:], strict=False) if a[0] != b[0] and a[2:4] == b[2:4]]
     edges = found.filter("part is null").select("u", "v")
@@ -162,16 +161,16 @@ def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """(node, weight, family, tile, tiles, shingles) for the classes in members.
 
     A filter of bounded size tells, where the texts are read, which rows may stand for a class; the join is exact."""
-    marks = members.select(F.xxhash64("first").alias("hid"), "ka")
-    bits = docs.sparkSession.sparkContext.broadcast(_pair_filter(marks, members.count()))
+    marks = members.select(F.xxhash64("first").bitwiseXOR(F.col("ka")).alias("h"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.filter_of(marks, "h", members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
                 w = words_of(piece.column(1))
                 ka, kb = _keys(w)
-                hid = piece.column(0).to_numpy().view(np.uint64)
-                yield from _chosen(w, ka, kb, np.flatnonzero(bloom.has(bits.value, _hash_with(hid, ka))), shingle)
+                own = piece.column(0).to_numpy() ^ ka
+                yield from _chosen(w, ka, kb, np.flatnonzero(bloom.has(bits.value, own.view(np.uint64))), shingle)
 
     def _chosen(w: Words, ka: np.ndarray, kb: np.ndarray, at: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         h, bounds = shingles(w, n)
@@ -186,22 +185,10 @@ def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ka[at]), pa.array(kb[at]), sets], names=["ka", "kb", "shingles"])
 
     hashed = docs.select(F.xxhash64("id").alias("hid"), "text")
-    found = hashed.mapInArrow(run, "ka long, kb long, shingles array<long>")
+    found = hashed.mapInArrow(tidy(run), "ka long, kb long, shingles array<long>")
     return found.join(members.select("ka", "kb", "node", "weight", "family", "tile", "tiles"), ["ka", "kb"]).dropDuplicates(["ka", "kb"])
 
 
-def _hash_with(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return bloom.mixed(a) ^ b.view(np.uint64)
-
-
-def _pair_filter(marks: DataFrame, rows: int) -> np.ndarray:
-    @F.pandas_udf("long")
-    def paired(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_hash_with(a.to_numpy().view(np.uint64), b.to_numpy()).view(np.int64))
-
-    return bloom.filter_of(marks.select(paired("hid", "ka").alias("h")), "h", rows)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """For each row of docs: id_col, class_id, n_links, kept.
 
@@ -249,9 +236,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = staged(gone.select(F.col(id_col).alias("gone_id"), F.xxhash64(id_col).alias("gone_hash")), "gone")
     bits = docs.sparkSession.sparkContext.broadcast(bloom.filter_of(gone, "gone_hash", gone.count()))
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.has(bits.value, h.to_numpy().view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(bloom.has(bits.value, h.to_numpy().view(np.uint64)))
 
     named = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("row"), F.col(id_col).alias("own")).withColumn("maybe", maybe(F.xxhash64("own")))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.llm.store import tidy
+
 UNKNOWN = "und"
 #: Rows of each language to learn from, code points of each, and words taken of each: bounds of the training sample.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WORDS = 400, 3000, 150
@@ -209,7 +211,7 @@ def identified(docs: DataFrame, languages: list[str], net: Network, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def recognised(docs: DataFrame, languages: list[str], net: Network, text_col: str = "text") -> DataFrame:
@@ -228,4 +230,4 @@ def recognised(docs: DataFrame, languages: list[str], net: Network, text_col: st
                 p = labeller.documents(part.column(at).to_pylist()) if names else np.zeros((len(part), 1))
                 yield part.filter(pa.array(p.max(axis=1) > 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditlake.llm.store import staged
+from creditlake.llm.store import staged, tidy
 
 #: Rows of one length that are numbered in one task, about.
 SLOT = 4096
@@ -99,7 +99,7 @@ def packed(pieces: DataFrame, keys: list[str], size: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return rows.mapInArrow(places, schema)
+    return rows.mapInArrow(tidy(places), schema)
 
 
 def packed_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048) -> DataFrame:

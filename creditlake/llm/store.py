@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, giving memory back at the end of a task: Python workers are reused, and Arrow's pool would keep what the
+    largest task took."""
+
+    @wraps(run)
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:
     """How many partitions hold rows_each rows at most, the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlake.llm import bloom
-from creditlake.llm.store import staged, with_groups
+from creditlake.llm.store import staged, tidy, with_groups
 from creditlake.llm.word_hash import SEQUENCE, Words, pieces, sequence_hashes, words_of
 
 
@@ -123,7 +123,7 @@ def _scanned(docs: DataFrame, columns: list[str], schema: str, emit: Callable[[W
                 for arrays in emit(words_of(piece.column(len(columns) - 1)), piece):
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidy(run), schema)
 
 
 def _repeated(docs: DataFrame, text: str, emit: Callable, name: str, most: int) -> np.ndarray:
@@ -281,7 +281,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([piece.column(0), *_results(w, _covered(w, r, window, own, maybe), np.ones(len(texts), bool))], names=["id", "kept_text", "n_words", "n_removed"])
 
     rest = with_groups(pending.select("id", "text", "ka", "kb"), sizes, ["ka", "kb"], "copies", max(1, pending.count()))
-    rest = rest.select("id", "text", "masks").mapInArrow(last, done.schema)
+    rest = rest.select("id", "text", "masks").mapInArrow(tidy(last), done.schema)
     return done.unionByName(rest).withColumnRenamed("id", id_col)
 
 

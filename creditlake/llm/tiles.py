@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlake.llm.store import partitions, staged
+from creditlake.llm.store import partitions, staged, tidy
 
 #: Which pairs (left place, right place) of two tiles are linked, in parts; for a tile with itself right is None.
 Kernel = Callable[[pa.Table, pa.Table | None], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -76,4 +76,4 @@ def links(items: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame:
             v = pa.array(np.r_[np.zeros(len(own), np.int64), node[label[more]]], mask=np.arange(len(own) + len(more)) < len(own))
             yield pa.RecordBatch.from_arrays([u, v, pa.array(np.r_[n[own], np.zeros(len(more), np.int64)])], names=["u", "v", "n"])
 
-    return staged(jobs.mapInArrow(run, "u long, v long, n long"), "links")
+    return staged(jobs.mapInArrow(tidy(run), "u long, v long, n long"), "links")

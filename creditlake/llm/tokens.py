@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from creditlake.llm.store import tidy
 from creditlake.llm.word_hash import pieces
 
 #: The public pattern by which the byte-level vocabularies cut a text before their merges (a fixed value).
@@ -68,4 +69,4 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *longs, *[pa.array(ids, pa.binary())] * keep_ids], names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
