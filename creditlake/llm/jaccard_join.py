@@ -244,3 +244,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("row"), F.col(id_col).alias("own")).withColumn("maybe", maybe(F.xxhash64("own")))
     kept = rows.filter("maybe").join(gone, F.col("own") == F.col("gone_id"), "left_anti").unionByName(rows.filter("not maybe"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in named])
+
+
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS x FROM t, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE c >= 0.8 * (nu.n + nv.n - c) - 1e-9),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+SELECT u AS doc_id, min(v) AS class_id, (SELECT count(*) FROM l WHERE l.u = r.u) AS n_links, u = min(v) AS kept FROM r GROUP BY u
+"""

@@ -79,5 +79,6 @@ SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op6_license_scan": license_scan.oracle(),
     "op7_substring_dedup": substring_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
     "op10_chat_format": chat_format.SQL,
 }
