@@ -9,9 +9,12 @@ from html import unescape
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is no text of the page.
-DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button option datalist".split())
+DROPPED = frozenset("script style noscript template head title svg iframe object canvas audio video select textarea button option datalist".split())
 #: Elements with raw content: no tag ends in it but their own.
 RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+#: Elements that can stand in a head; any other, and any text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are nodes of the tree; all others are part of the text of the node that they are in.
 BLOCKS = frozenset("html body article main section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset address details summary dialog menu hgroup center".split())
@@ -42,7 +45,7 @@ def parsed(html: str) -> Page:
     """Any string gives a page: what is not closed ends with its parent, what closes nothing is ignored."""
     nodes, runs = [Node("page", -1, 0)], []
     open_, text = [0], []
-    skipped, raw, linked = [], "", False
+    skipped, linked = [], False
 
     def end_run() -> None:
         if text:
@@ -61,11 +64,16 @@ def parsed(html: str) -> Page:
             if tag in bounds:
                 return
 
-    for m in _TOKEN.finditer(html):
+    tokens = _TOKEN.finditer(html)
+    while m := next(tokens, None):
         tag = m[2]
         if tag is None:
             said = m[0]
-            if raw or skipped or said.startswith(("<!", "<?")):
+            if said.startswith(("<!", "<?")):
+                continue
+            if skipped == ["head"] and not said.isspace():
+                skipped.clear()
+            if skipped:
                 continue
             text.append(said)
             n = len(said.strip())
@@ -74,25 +82,21 @@ def parsed(html: str) -> Page:
             node.linked += n * linked
             continue
         tag, ending = tag.lower(), m[1] == "/"
-        if raw:
-            if ending and tag == raw:
-                raw = ""
-                if skipped and skipped[-1] == tag:
-                    skipped.pop()
-            continue
+        if skipped == ["head"] and (tag in ("body", "html", "br") if ending else tag not in IN_HEAD):
+            skipped.clear()
         if tag in DROPPED:
             if ending:
                 if tag in skipped:
                     del skipped[skipped.index(tag) :]
             elif not m[3].rstrip().endswith("/"):
-                skipped.append(tag)
-                raw = tag if tag in RAW else ""
+                if tag in RAW:
+                    end = _RAW_END[tag].search(html, m.end())
+                    tokens = _TOKEN.finditer(html, end.end() if end else len(html))
+                elif tag != "head" or not skipped:
+                    skipped.append(tag)
             continue
         if skipped:
-            if skipped[-1] == "head" and tag == "body" and not ending:
-                skipped.clear()
-            else:
-                continue
+            continue
         if tag == "a":
             linked = not ending
             continue

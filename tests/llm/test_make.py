@@ -149,6 +149,23 @@ def test_extraction_edges(spark):
     assert html_extract.extracted(df.limit(0)).count() == 0
 
 
+def test_raw_elements_and_open_heads_keep_the_text_after_them():
+    def runs(html):
+        return [text for _, text in parsed(html).runs]
+
+    end = "<article><p>text<p>more"
+    for script in ('<script>for(i=0;i<n;i++){f("x");}</script>', "<script>a<b;c='</p>'</script >", "<SCRIPT>'it</scripts>'</Script>", "<script>if(a<b)x=\"'\"</script\n>", "<style>a<b{}</style>", "<textarea><b it's</textarea>", "<title>a<b \"</title>", "<noscript><img alt='</noscript>"):
+        assert runs(script + end) == ["text", "more"], script
+        assert runs(f"<head>{script}</head>{end}") == ["text", "more"], script
+    for head in ("<head><meta charset=x>", "<html><head><title>t</title><link href=x>", "<head><script>a<b</script>", "<head><head>", "<head><template><p>no</template>"):
+        assert runs(head + end) == ["text", "more"], head
+        assert runs(f"{head}<body>{end}</body>") == ["text", "more"], head
+        assert runs(head + "said") == ["said"], head
+    assert runs("<head><svg><text>no</text></svg>" + end) == ["text", "more"]
+    assert runs("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds<script>never closed<p>no") == ["so x=1 holds"]
+    assert runs("<p>a</p><svg><title>t</title><text>no</text></svg><p>b") == ["a", "b"]
+
+
 def test_license_scan_edges(spark, odd):
     mit = license_scan.TEMPLATES["mit"]
     lines = mit.replace(", ", ",\n")
