@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from pathlib import Path
 
 import numpy as np
@@ -34,12 +34,25 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
 
 
-def encoder_of(ranks: dict[bytes, int]):
-    """A function from a text to its ids (unsigned 32-bit). Strings of special tokens are ordinary text."""
+def added_of(path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file, with their ids: texts are split at them before anything else.
+
+    Tokens that take the blanks around them, count only as whole words, or begin or contain one another are refused,
+    because the encoder of encoder_of would split at them otherwise than the file's own library."""
+    added = json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens", [])
+    names = [t["content"] for t in added]
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")) or any(a != b and a in b for a in names for b in names):
+        raise ValueError("the vocabulary's added tokens are not plain strings apart from each other")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoder_of(ranks: dict[bytes, int], added: Mapping[str, int] | None = None):
+    """A function from a text to its ids (unsigned 32-bit). Strings of added tokens get their ids; without added they
+    are ordinary text."""
     import tiktoken
 
-    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: own.encode_to_numpy(text, disallowed_special=())
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(added or {}))
+    return lambda text: own.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, keep_ids: bool = True) -> DataFrame:
@@ -47,12 +60,13 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     (little-endian unsigned 32-bit) unless keep_ids is off.
 
     Up to size ids are one piece; of more, all pieces have size ids but the first, which has what is left over. A null
-    or empty text is one piece of END_OF_TEXT. path is read on the driver, so executors need no copy."""
-    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))
+    or empty text is one piece of END_OF_TEXT. Added tokens of the vocabulary inside a text have their own ids. path is
+    read on the driver, so executors need no copy."""
+    known = docs.sparkSession.sparkContext.broadcast((ranks_of(path), added_of(path)))
     end = np.asarray([END_OF_TEXT], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of(ranks.value)
+        encode = encoder_of(*known.value)
         for batch in batches:
             for part in pieces(batch, 1):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -32,6 +32,18 @@ def test_ids_are_the_tokenizers():
         assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens_are_the_tokenizers(spark):
+    own, encode = Tokenizer.from_file(VOCABULARY), tokens.encoder_of(tokens.ranks_of(VOCABULARY), tokens.added_of(VOCABULARY))
+    rng = random.Random(2)
+    parts = ["a", " ", "  ", "\n", "\n\n", "'s", "1", "é", "!!", "漢", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " x"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(2000))]
+    for text in texts:
+        assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
+    rows = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    for r in tokens.token_pieces(rows, VOCABULARY).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode(texts[r.doc_id], add_special_tokens=False).ids + [tokens.END_OF_TEXT]
+
+
 def check_layout(rows, size):
     by = collections.defaultdict(list)
     for r in rows:
