@@ -187,6 +187,31 @@ def test_license_scan_edges(spark, odd):
     assert license_scan.scanned(odd).filter("license IS NOT NULL").count() == 0 and license_scan.scanned(odd.limit(0)).count() == 0
 
 
+def test_license_scan_finds_passages(spark):
+    mit = license_scan.TEMPLATES["mit"]
+    blocks = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    prose = "\n\n".join(f"some other text number {i} that has nothing to say here" for i in range(40))
+    bsd = license_scan.FURTHER["bsd-3-clause"].replace("met: 1.", "met:\n\n1.").replace("distribution. 3.", "distribution.\n\n3.").replace("permission. THIS", "permission.\n\nTHIS")
+    notice = "The code that we show is Released under the MIT License. See the file for more of it."
+    rows = [
+        (1, f"{prose}\n\n{blocks}\n\n{prose}"), (2, f"{prose}\n{notice}\n{prose}"), (3, f"{notice}\n{notice}\nReleased under the MIT License.\nx"), (4, f"{prose}\n{bsd}\n{prose}"),
+        (5, f"{blocks}\n\n{prose}\n\n{blocks}"), (6, "Released under the MIT\nLicense."), (7, prose + " software license mit"), (8, "Released under the MIT License.\n" * 3 + "x"),
+        (9, " ".join([prose, license_scan.FURTHER["zlib"], prose]).replace("\n", " ")),
+    ]
+    got = {r.doc_id: (r.license, r.dice, r.unit, r.n_matches) for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("mit", 1.0, "passage", 1) and got[2] == ("mit-notice", 1.0, "passage", 1) and got[3] == ("mit-notice", 1.0, "line", 3)
+    assert got[4][:3] == ("bsd-3-clause", 1.0, "passage") and got[5] == ("mit", 1.0, "passage", 2) and got[6][:3] == ("mit-notice", 1.0, "block")
+    assert got[7] == (None, None, None, 0) and got[8][:3] == ("mit-notice", 1.0, "line") and got[9] == ("zlib", 1.0, "passage", 1)
+
+
+def test_every_further_match_has_an_anchor():
+    both = license_scan.TEMPLATES | license_scan.FURTHER
+    must = set(license_scan.anchors(both, 0.9))
+    for text in both.values():
+        own = license_scan.template_bigrams(text)
+        assert len([b for b in own if not must & set(b.split())]) < license_scan.size_bounds(len(own), 0.9)[0]
+
+
 def test_every_match_has_an_anchor():
     must = set(license_scan.anchors(license_scan.TEMPLATES, 0.9))
     for text in license_scan.TEMPLATES.values():
