@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm import chat_format, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, packing, substring_dedup
+from creditlake.llm import chat_format, divergence, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, packing, substring_dedup, token_counts, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.formatted(rows.withColumns({"seq": F.lit(0), "kind": F.lit("message")})))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(_table(spark, folder, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL: dict[str, str] = {
@@ -81,4 +96,5 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
