@@ -115,10 +115,11 @@ def rank_in_class(df: DataFrame, classes: list[str], id_col: str, seed: int = 0,
     )
 
 
-def running_totals(df: DataFrame, groups: list[str], order: list[str], sums: list[str]) -> DataFrame:
+def running_totals(df: DataFrame, groups: list[str], order: list[str], sums: list[str], slice_name: str | None = None) -> DataFrame:
     """Inclusive running totals ``cum_<s>`` and group totals ``all_<s>`` along an ascending order.
 
-    Rows must be distinct on (groups, order); aggregate first, so that a hot value is one row.
+    Rows must be distinct on (groups, order); aggregate first, so that a hot value is one row. With slice_name each row
+    also tells its slice of the order; slice numbers rise with it.
     """
     ranged = durable(df.repartitionByRange(*groups, *order).withColumn("_slice", F.spark_partition_id()))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -131,11 +132,9 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], sums: lis
         *[F.sum(f"_t_{s}").over(by_group).alias(f"all_{s}") for s in sums],
     )
     so_far = Window.partitionBy(*groups, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        join_null_safe(ranged, offsets, [*groups, "_slice"])
-        .withColumns({f"cum_{s}": F.col(f"_b_{s}") + F.sum(s).over(so_far) for s in sums})
-        .drop("_slice", *[f"_b_{s}" for s in sums])
-    )
+    placed = join_null_safe(ranged, offsets, [*groups, "_slice"]).withColumns(
+        {f"cum_{s}": F.col(f"_b_{s}") + F.sum(s).over(so_far) for s in sums}).drop(*[f"_b_{s}" for s in sums])
+    return placed.withColumnRenamed("_slice", slice_name) if slice_name else placed.drop("_slice")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
