@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,54 +11,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditlake.llm.bloom import mixed
 from creditlake.llm.store import staged, tidy, with_groups
-from creditlake.llm.word_hash import pieces
+from creditlake.llm.word_hash import BYTE, SEQUENCE, sequence_hashes
 
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_BREAK = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Characters of a text that are cut up at once, and counts that a task holds before it sends them on.
-STRIDE, HELD = 1 << 20, 200_000
+#: Bytes of text that are cut up at once, and that a task counts together before it sends sums on.
+STRIDE, HELD = 1 << 20, 1 << 24
 #: Distinct count columns of a block, about.
 BLOCK = 16_384
 
+_CODES = np.arange(256, dtype=np.uint8)
+_UPPER = (_CODES >= ord("A")) & (_CODES <= ord("Z"))
+_LOWER = np.where(_UPPER, _CODES + 32, _CODES).astype(np.uint8)
+#: Bytes of terms: letters A to Z, and those of characters beyond ASCII.
+_TERM = _UPPER | ((_CODES >= ord("a")) & (_CODES <= ord("z"))) | (_CODES >= 0x80)
 
-def terms_of(text: str) -> Counter[str]:
-    """How often each term occurs in a whole text. Only A to Z are lower-cased."""
-    seen: Counter[str] = Counter()
-    at = 0
-    while at < len(text):
-        end = _BREAK.search(text, at + STRIDE)
-        end = end.start() if end else len(text)
-        seen.update(TERM.findall(text[at:end].translate(_LOWER)))
-        at = end
-    return seen
+
+@dataclass
+class Terms:
+    """Occurrences of terms in order: bytes data[starts:ends], two hashes of them, and the row each is in. open is the
+    row whose text goes on in the next part, or -1."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    hashes: np.ndarray
+    others: np.ndarray
+    open: int
+
+    @staticmethod
+    def joined(parts: list[Terms]) -> Terms:
+        shift = np.cumsum([0, *[len(p.data) for p in parts]])
+        columns = [np.concatenate([getattr(p, n) for p in parts]) for n in ("data", "rows", "hashes", "others")]
+        starts, ends = (np.concatenate([getattr(p, n) + d for p, d in zip(parts, shift, strict=False)]) for n in ("starts", "ends"))
+        return Terms(columns[0], starts, ends, *columns[1:], parts[-1].open)
+
+    def pairs(self, row: int) -> np.ndarray:
+        """Both hashes of each term of a row."""
+        own = self.rows == row
+        return np.rec.fromarrays([self.hashes[own], self.others[own]])
+
+
+def terms_of(column: pa.Array, first: int = 0) -> Iterator[Terms]:
+    """The terms of some texts, in parts of about STRIDE bytes that end between terms; rows count from first."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    text = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at, end = int(offsets[0]), int(offsets[-1])
+    while at < end:
+        stop = min(end, at + STRIDE)
+        while stop < end and _TERM[text[stop]] and _TERM[text[stop - 1]]:
+            gap = np.flatnonzero(~_TERM[text[stop : min(end, stop + STRIDE)]])
+            stop = stop + int(gap[0]) if len(gap) else min(end, stop + STRIDE)
+        data = _LOWER[text[at:stop]]
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = _TERM[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets[(offsets >= at) & (offsets <= stop)] - at] = True
+        starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+        ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+        values = data.astype(np.uint64) + np.uint64(1)
+        hashes = [sequence_hashes(values, starts, ends, base) for base in SEQUENCE]
+        last = int(np.searchsorted(offsets, stop, "right")) - 1
+        yield Terms(data, starts, ends, first + np.searchsorted(offsets, starts + at, "right") - 1, *hashes, -1 if offsets[last] == stop else first + last)
+        at = stop
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    taken = data[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(taken.tobytes()))
+
+
+def summed(t: Terms, groups: np.ndarray, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each term of each group: a place where it occurs, how often it does, and in how many rows. groups has the
+    number of each row's group; rows do not count again where `counted` is set.
+
+    Occurrences are sorted by a hash of group and term; should it fall on two of them, which their 128 bits of hash
+    show, another one is taken."""
+    group = groups[t.rows].astype(np.uint64)
+    for salt in range(64):
+        key = mixed(t.hashes + mixed(t.others + group * np.uint64(BYTE) + np.uint64(salt)))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        if all((v[order][1:][same] == v[order][:-1][same]).all() for v in (t.hashes, t.others, group)):
+            break
+    if not len(order):
+        return order, order, order
+    first = np.r_[True, ~same]
+    place, row = np.flatnonzero(first), t.rows[order]
+    fresh = first | np.r_[True, row[1:] != row[:-1]]
+    if counted is not None:
+        fresh &= ~counted[order]
+    return order[place], np.diff(np.r_[place, len(order)]), np.add.reduceat(fresh.astype(np.int64), place)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) summed over the texts of a task so far; a group's own row has a null term."""
-    n: Counter[tuple] = Counter()
-    docs: Counter[tuple] = Counter()
+    """(lang, source, term, n, docs) of texts of about HELD bytes at a time. Of a longer text the hashes of its terms are
+    kept until it ends, so that it counts once for each."""
+    parts: list[Terms] = []
+    groups: list[tuple[str, str]] = []
+    known: tuple[int, np.ndarray] | None = None
 
-    def sent() -> pa.RecordBatch:
-        keys = list(n)
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        counts = [pa.array([c[k] for k in keys], pa.int64()) for c in (n, docs)]
-        n.clear(), docs.clear()
-        return pa.RecordBatch.from_arrays([*columns, *counts], names=["lang", "source", "term", "n", "docs"])
+    def sent() -> Iterator[pa.RecordBatch]:
+        nonlocal known
+        numbers = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+        number = np.asarray([numbers[g] for g in groups], np.int64)
+        t = Terms.joined(parts)
+        counted = None
+        if known is not None:
+            counted = t.rows == known[0]
+            counted[counted] = np.isin(t.pairs(known[0]), known[1])
+        place, n, docs = summed(t, number, counted)
+        more = np.unique(t.pairs(t.open)) if t.open >= 0 else None
+        known = None if more is None else (t.open, np.unique(np.concatenate([known[1], more])) if known is not None and known[0] == t.open else more)
+        of = pa.array(number[t.rows[place]])
+        names = [pa.array([g[i] for g in numbers], pa.string()).take(of) for i in range(2)]
+        out = pa.RecordBatch.from_arrays([*names, _strings(t.data, t.starts[place], t.ends[place]).cast(pa.string()), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+        yield from (out.slice(i, 1 << 16) for i in range(0, len(out), 1 << 16))
 
     for batch in batches:
-        for part in pieces(batch, 2):
-            for lang, source, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                n[lang, source, None] += 0
-                for term, k in terms_of(text).items():
-                    n[lang, source, term] += k
-                    docs[lang, source, term] += 1
-                if len(n) >= HELD:
-                    yield sent()
-    if n:
-        yield sent()
+        for lo in range(0, len(batch), 256):
+            some, early = batch.slice(lo, 256), False
+            rows = len(groups)
+            groups += zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+            for t in terms_of(some.column(2), rows):
+                if parts and sum(len(p.data) for p in parts) >= HELD:
+                    yield from sent()
+                    parts.clear()
+                    early = True
+                parts.append(t)
+            if parts and (early or sum(len(p.data) for p in parts) >= HELD):
+                yield from sent()
+                parts.clear()
+            if not parts:
+                groups.clear()
+    if parts:
+        yield from sent()
 
 
 def runs(counts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +250,15 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     terms. A language of g sources has g (g - 1) pairs, all of which are asked for; a block holds its language's sources
     and about `block` different count columns."""
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counted = staged(texts.mapInArrow(tidy(_counted), "lang string, source string, term string, n long, docs long"), "counted")
-    own = counted.filter("term is not null").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = texts.select("lang", "source", "text").mapInArrow(tidy(_counted), "lang string, source string, term string, n long, docs long")
+    own = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = own.groupBy("lang", "term").agg(F.sum("n").alias("m"), F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("of"))
     terms = terms.filter(F.col("docs") >= least_docs).select("lang", "term", "m", F.col("of.source").alias("sources"), F.col("of.n").alias("counts"))
     terms = staged(terms, "terms")
     entries = terms.select("lang", "term", "m", F.explode(F.arrays_zip("sources", "counts")).alias("of")).select("lang", "of.sources", "term", "m", "of.counts").toDF("lang", "source", "term", "m", "n")
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("entries"))
     langs = terms.groupBy("lang").agg(F.sum("m").alias("lang_total"), F.count("*").alias("v"))
-    groups = counted.filter("term is null").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = texts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = staged(groups.fillna(0, ["total", "entries", "lang_total", "v"]), "groups")
     pairs = _pairs(terms, groups, block)
     size = groups.agg(F.sum("entries")).first()[0] or 1

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import odd_documents
 from pyspark.sql import functions as F
@@ -171,11 +172,31 @@ def test_divergence_of_odd_tables(spark, odd):
     assert empty.count() == 0 and empty.dtypes[-2:] == [("value", "bigint"), ("rank", "int")]
 
 
-def test_terms_of_long_texts(monkeypatch):
-    text = " ".join(random.Random(3).choices(["Aa", "bb", "é", "9", "--"], k=5000))
-    whole = divergence.terms_of(text)
-    monkeypatch.setattr(divergence, "STRIDE", 37)
-    assert divergence.terms_of(text) == whole and whole["aa"] == text.count("Aa")
+def plain_terms(texts, groups):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n, docs = collections.Counter(), collections.Counter()
+    for text, g in zip(texts, groups, strict=True):
+        own = collections.Counter((*g, t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(low)))
+        n.update(own)
+        docs.update(own.keys())
+    return {k: (v, docs[k]) for k, v in n.items()}
+
+
+@pytest.mark.parametrize(("stride", "held"), [(1 << 20, 1 << 24), (37, 100), (64, 10_000), (5, 1)])
+def test_terms_of_short_and_long_texts(monkeypatch, stride, held):
+    monkeypatch.setattr(divergence, "STRIDE", stride)
+    monkeypatch.setattr(divergence, "HELD", held)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["Aa", "bb", "é", "漢字", "9", "--", " ", "\n", "Z", "[", "{", "@", "z"], k=rng.choice([0, 1, 3, 30, 400]))) for _ in range(300)]
+    texts += [None, "x" * 300, " ".join(["tail", "Tail"] * 200), "tail"]
+    groups = [(rng.choice(["en", ""]), rng.choice("ab")) for _ in texts]
+    table = pa.table({"lang": [g[0] for g in groups], "source": [g[1] for g in groups], "text": texts})
+    got = collections.defaultdict(lambda: [0, 0])
+    for batch in divergence._counted(iter(table.to_batches(max_chunksize=290))):
+        for lang, source, term, n, docs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            got[lang, source, term][0] += n
+            got[lang, source, term][1] += docs
+    assert {k: tuple(v) for k, v in got.items()} == plain_terms(texts, groups)
 
 
 def test_runs_stand_for_their_column():
