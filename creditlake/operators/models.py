@@ -1,9 +1,7 @@
-"""Classifiers, cross-validation, configuration search, stacking and calibration with pyspark.ml."""
+"""Classifiers, stacking and calibration with pyspark.ml."""
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -13,35 +11,18 @@ from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import dbl
 from creditlake.operators.cleaning import fill_by_type
-from creditlake.operators.evaluate import confusion, roc_auc
+from creditlake.operators.evaluate import roc_auc
 from creditlake.operators.sampling import with_class_weight
 
+#: Trees that validated boosting may take.
+MOST_TREES = 2000
 LABEL, FEATURES, SCORE, WEIGHT = "label", "features", "score", "weight"
 
-# Settings of the configuration sweep, of our own for this learner: tree depth, step size, number of trees, shares of
-# rows and of features, least rows per node, and the multiple of the balanced positive weight.
-CONFIGS: dict[str, dict] = {
-    "stumps_slow": {"maxDepth": 2, "stepSize": 0.05, "maxIter": 20, "minInstancesPerNode": 40},
-    "shallow_slow": {"maxDepth": 3, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.6, "minInstancesPerNode": 40},
-    "shallow_quick": {"maxDepth": 3, "stepSize": 0.3, "maxIter": 10},
-    "even": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 30},
-    "even_half_features": {"maxDepth": 4, "stepSize": 0.1, "maxIter": 20, "featureSubsetStrategy": "0.5"},
-    "for_recall": {"maxDepth": 4, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "positive_scale": 1.3},
-    "for_precision": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "positive_scale": 0.8},
-    "middle": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
-    "middle_fine_bins": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "maxBins": 128},
-    "middle_least_gain": {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "minInfoGain": 0.001},
-    "deep_slow": {"maxDepth": 7, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 20},
-    "deep_large_leaves": {"maxDepth": 7, "stepSize": 0.1, "maxIter": 20, "minInstancesPerNode": 60},
-}
-
-
 def assembled(df: DataFrame, numeric: list[str], categorical: list[str], target: str, keep: list[str]) -> DataFrame:
     """Rows ready for training: filled, indexed, assembled, with a label and a balanced class weight."""
     filled = fill_by_type(df.select(*keep, target, *numeric, *categorical), but=(target, *keep))
@@ -77,8 +58,9 @@ class BoostedTrees(GBTClassifier):
 
 
 def boosted(validation: str | None = None, **params) -> BoostedTrees:
-    """Gradient-boosted trees on weighted rows; with a validation flag column, boosting stops when it stops helping."""
-    settings = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "validationTol": 0.001, **params}
+    """Gradient-boosted trees on weighted rows; with a validation flag column, boosting stops when it stops helping, and
+    there is room for MOST_TREES."""
+    settings = {"maxIter": MOST_TREES if validation else 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "validationTol": 0.001, **params}
     if validation:
         settings["validationIndicatorCol"] = validation
     return BoostedTrees(labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, **settings)
@@ -100,17 +82,6 @@ def in_parallel(jobs: list[Callable], width: int = 4) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
 
 
-def fold_models(df: DataFrame, learner, folds: int, fold: str = "fold") -> list[Model]:
-    return in_parallel([lambda k=k: learner.copy().fit(df.where(F.col(fold) != k)) for k in range(folds)])
-
-
-def out_of_fold(df: DataFrame, learner, folds: int, keep: list[str], name: str = SCORE, fold: str = "fold") -> DataFrame:
-    """Every row scored by the model that did not see its fold."""
-    models = fold_models(df, learner, folds, fold)
-    parts = [scored(m, df.where(F.col(fold) == k), name, tuple(keep)) for k, m in enumerate(models)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def fold_aucs(oof: DataFrame, target: str = LABEL, score: str = SCORE) -> DataFrame:
     """AUC of every fold in one job, with the mean and standard deviation over folds."""
     table = roc_auc(oof, target, score, ["fold"])
@@ -120,49 +91,6 @@ def fold_aucs(oof: DataFrame, target: str = LABEL, score: str = SCORE) -> DataFr
     )
 
 
-def _weighted(df: DataFrame, scale: float) -> DataFrame:
-    return df.withColumn(WEIGHT, F.when(F.col(LABEL) == 1, F.col(WEIGHT) * scale).otherwise(F.col(WEIGHT)))
-
-
-def config_sweep(train: DataFrame, validation: DataFrame, configs: dict[str, dict], threshold: float = 0.5) -> DataFrame:
-    """Train every configuration and rank them by validation AUC, with precision, recall and false-positive rate."""
-
-    def fit(name: str, params: dict) -> tuple[str, Model]:
-        settings = dict(params)
-        scale = settings.pop("positive_scale", 1.0)
-        return name, boosted(**settings).fit(_weighted(train, scale))
-
-    fitted = in_parallel([lambda n=n, p=p: fit(n, p) for n, p in configs.items()])
-    long = reduce(
-        DataFrame.unionByName,
-        [scored(m, validation, keep=(LABEL,)).withColumn("config", F.lit(n)) for n, m in fitted],
-    )
-    aucs = roc_auc(long, LABEL, SCORE, ["config"])
-    rates = reduce(
-        DataFrame.unionByName,
-        [confusion(long.where(F.col("config") == n), LABEL, SCORE, threshold).withColumn("config", F.lit(n))
-         for n, _ in fitted],
-    ).select("config", "precision", "recall", "fp_rate")
-    trees = reduce(lambda a, b: F.when(F.col("config") == b[0], F.lit(b[1].getNumTrees)).otherwise(a), fitted, F.lit(0))
-    return aucs.join(rates, "config").withColumn("trees", trees).orderBy(F.desc("auc"), "config")
-
-
-def random_configs(trials: int, max_trees: int = 20, seed: int = 0) -> dict[str, dict]:
-    """Seeded draws from the search ranges."""
-    rng = random.Random(seed)
-    return {
-        f"trial_{i}": {
-            "stepSize": math.exp(rng.uniform(math.log(0.005), math.log(0.03))),
-            "maxIter": rng.randint(max(1, max_trees // 2), max_trees),
-            "maxDepth": rng.randint(3, 8),
-            "minInstancesPerNode": rng.randint(10, 40),
-            "subsamplingRate": rng.uniform(0.6, 0.9),
-            "positive_scale": rng.uniform(0.7, 1.3),
-        }
-        for i in range(trials)
-    }
-
-
 def perceptron(train: DataFrame, inputs: int, hidden: tuple[int, ...] = (16, 8), max_iter: int = 40) -> PipelineModel:
     """A feed-forward network on standardised features."""
     scaler = StandardScaler(inputCol=FEATURES, outputCol="scaled", withMean=True)
@@ -184,13 +112,6 @@ def platt(df: DataFrame, score: str, target: str, name: str = "calibrated") -> D
     return scored(model, df, name)
 
 
-def isotonic(df: DataFrame, score: str, target: str, name: str = "calibrated") -> DataFrame:
-    """Monotone calibration. The fit sees one weighted row per distinct score, so heavy ties cost one row."""
-    points = df.groupBy(dbl(score).alias("s")).agg(F.avg(target).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    model = IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", predictionCol=name).fit(points)
-    return model.transform(df.withColumn("s", dbl(score))).drop("s")
-
-
 def importances(model, names: list[str]) -> DataFrame:
     """Share of the total gain per feature, in percent. One row per model column."""
     values = model.featureImportances.toArray()

@@ -6,42 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import dbl, one_row
-from creditlake.functions.ordering import MIX_BITS, SLICE_BITS, beside, durable, join_null_safe, mix
+from creditlake.functions.ordering import MIX_BITS, SLICE_BITS, durable, join_null_safe, mix
 
 
-def target_statistic(df: DataFrame, category: str, target: str, id_col: str, learns: Column, name: str, strength: float = 1.0, seed: int = 0) -> DataFrame:
-    """df plus name: (labels of the category + strength * prior) / (rows of the category + strength).
+def target_statistic(df: DataFrame, category: str, target: str, id_col: str, learns: dict[str, Column], strength: float = 1.0, seed: int = 0) -> DataFrame:
+    """df plus a column for each name in learns: (labels of the category + strength * prior) / (rows of the category +
+    strength), over the rows under that name's condition.
 
-    Rows under `learns` are put in a random order (of seed and id; ids must differ). One of them counts the rows before
-    it, in its category and under `learns`; any other row counts all of them. So a row's own label is in no number of
-    its own, and labels outside `learns` are in none. prior is the mean label under `learns`. A null category is a
-    category; one that no row under `learns` has gets the prior; null labels count as outside `learns`.
+    Rows are put in a random order (of seed and id; ids must differ). A row under the condition counts those before it in
+    its category, any other row counts all. So a row's own label is in no number of its own, and labels outside the
+    condition are in none. prior is the mean label under the condition, 0 without any. A null category is a category;
+    one without rows under the condition gets the prior; a row without a label is under no condition.
 
     The order of a category is cut into slices that a row's hash names; slices are totalled and the totals before are
-    added, so a category with a third of all rows is shared by many tasks."""
-    learns = F.coalesce(learns, F.lit(False)) & F.col(target).isNotNull()
-    rows = df.withColumn("_learns", learns).withColumn("_y", F.when(F.col("_learns"), dbl(target)).otherwise(F.lit(0.0)))
-    rows = rows.withColumns({"_n": F.col("_learns").cast("long"), "_mix": mix(id_col, seed)}).withColumn("_slice", F.shiftright("_mix", MIX_BITS - SLICE_BITS))
-    slices = durable(rows.where("_learns").groupBy(category, "_slice").agg(F.sum("_y").alias("_ys"), F.sum("_n").alias("_ns")))
-    before = Window.partitionBy(category).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(category, "_slice", F.sum("_ys").over(before).alias("_y0"), F.sum("_ns").over(before).alias("_n0"))
-    prior = one_row(slices.agg((F.sum("_ys") / F.sum("_ns")).alias("p")))
-    whole = slices.groupBy(category).agg(F.sum("_ys").alias("_yall"), F.sum("_ns").alias("_nall"))
+    added, so a category with a third of all rows is shared by many tasks. All conditions take one pass."""
+    names = list(learns)
+    rows = df.withColumn("_mix", mix(id_col, seed)).withColumn("_slice", F.shiftright("_mix", MIX_BITS - SLICE_BITS))
+    rows = rows.withColumns({f"_n{i}": (F.coalesce(learns[k], F.lit(False)) & F.col(target).isNotNull()).cast("long") for i, k in enumerate(names)})
+    rows = rows.withColumns({f"_y{i}": F.when(F.col(f"_n{i}") == 1, dbl(target)).otherwise(F.lit(0.0)) for i in range(len(names))})
+    sums = [f"_{c}{i}" for i in range(len(names)) for c in "yn"]
+    slices = durable(rows.groupBy(category, "_slice").agg(*[F.sum(c).alias(c) for c in sums]))
+    own = Window.partitionBy(category)
+    before = own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(category, "_slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before{c}") for c in sums], *[F.sum(c).over(own).alias(f"_all{c}") for c in sums])
+    priors = one_row(slices.agg(*[F.coalesce(F.sum(f"_y{i}") / F.nullif(F.sum(f"_n{i}"), F.lit(0)), F.lit(0.0)).alias(f"p{i}") for i in range(len(names))]))
     inside = Window.partitionBy(category, "_slice").orderBy("_mix", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    own = join_null_safe(rows.where("_learns"), offsets, [category, "_slice"]).withColumns({
-        "_ysum": F.coalesce("_y0", F.lit(0.0)) + F.coalesce(F.sum("_y").over(inside), F.lit(0.0)),
-        "_nsum": F.coalesce("_n0", F.lit(0)) + F.coalesce(F.sum("_n").over(inside), F.lit(0))})
-    rest = beside(rows.where("not _learns"), whole, [category], "left").withColumns({"_ysum": F.coalesce("_yall", F.lit(0.0)), "_nsum": F.coalesce("_nall", F.lit(0))})
-    wanted = [*df.columns, "_ysum", "_nsum"]
-    both = own.select(*wanted).unionByName(rest.select(*wanted)).withColumn("_prior", F.coalesce(prior["p"], F.lit(0.0)))
-    return both.withColumn(name, (F.col("_ysum") + strength * F.col("_prior")) / (F.col("_nsum") + strength)).drop("_ysum", "_nsum", "_prior")
+    joined = join_null_safe(rows, offsets, [category, "_slice"]).withColumn("_prior", priors)
+    joined = joined.withColumns({f"_past{c}": F.col(f"_before{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    seen = {i: [F.when(F.col(f"_n{i}") == 1, F.col(f"_past_{c}{i}")).otherwise(F.col(f"_all_{c}{i}")) for c in "yn"] for i in range(len(names))}
+    return joined.select(*df.columns, *[((seen[i][0] + strength * F.col(f"_prior.p{i}")) / (seen[i][1] + strength)).alias(k) for i, k in enumerate(names)])
 
 
 def target_statistics(df: DataFrame, categories: list[str], target: str, id_col: str, learns: dict[str, Column], strength: float = 1.0, seed: int = 0) -> DataFrame:
-    """target_statistic of each category under each named condition, as <category>_<condition>. The result of each is
-    written before the next, so that a lost executor does not repeat them all."""
+    """target_statistic of each category under each named condition, as <category>_<name>. The result of each category
+    is written before the next, so that a lost executor does not repeat them all."""
     for i, c in enumerate(categories):
-        for label, condition in learns.items():
-            df = target_statistic(df, c, target, id_col, condition, f"{c}_{label}", strength, seed + i)
-        df = durable(df)
+        df = durable(target_statistic(df, c, target, id_col, {f"{c}_{k}": v for k, v in learns.items()}, strength, seed + i))
     return df

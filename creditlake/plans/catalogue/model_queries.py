@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import melt, settle, settle_all
 from creditlake.functions.ordering import durable, scratch_path
+from creditlake.operators import boosting as B
 from creditlake.operators import explain as X
 from creditlake.operators import models as M
 from creditlake.operators import sampling as S
+from creditlake.operators import tuning as T
 from creditlake.operators.blocks import attach, bureau_small
 from creditlake.operators.cleaning import fill_by_type
 from creditlake.operators.derive import derive_ext, derive_ratios
+from creditlake.operators.isotonic import isotonic
 from creditlake.operators.profile import target_correlation
 from creditlake.plans.catalogue.registry import query
 from creditlake.plans.catalogue.sqltext import settled, statement
@@ -40,46 +42,71 @@ def _parts(spark, folder):
     return split.where("part = 'train'"), split.where("part = 'test'")
 
 
-def _folded(spark, folder, k):
-    return durable(S.stratified_folds(_ready(spark, folder), M.LABEL, C, k, seed=7))
+def _fitted(rows, **params):
+    """Boosted trees of the built-in learner, stopped by 15 % of the given rows."""
+    split = S.stratified_split(rows, M.LABEL, C, 0.15, seed=11, name="_held").withColumn("held", F.col("_held") == "test")
+    return M.boosted("held", **params).fit(durable(split.drop("_held")))
+
+
+def _in_three(spark, folder):
+    """Clients as bins in parts 0 (learned from), 1 (stops growth) and 2 (tested), weighted by class."""
+    part = F.when(F.col("part") == "train", 0).when(F.col("part") == "validation", 1).otherwise(2)
+    split = S.three_way_split(_clients(spark, folder), Y, C, 0.2, 0.15, seed=7).withColumn("part", part)
+    weighted = durable(S.with_class_weight(split, Y, M.WEIGHT))
+    return T.prepared(weighted, C, Y, NUMERIC, CATEGORICAL, "part", {"past": F.col("part") == 0}, M.WEIGHT)
+
+
+def _in_folds(spark, folder, k, nested):
+    folded = S.with_class_weight(S.stratified_folds(_clients(spark, folder), Y, C, k, seed=7), Y, M.WEIGHT)
+    return T.prepared(durable(folded), C, Y, NUMERIC, CATEGORICAL, "fold", T.fold_conditions(k, nested=nested), M.WEIGHT)
 
 
 @query("ml_gbt")
 def _gbt(spark, folder):
-    split = S.three_way_split(_ready(spark, folder), M.LABEL, C, 0.2, 0.15, seed=7)
-    split = durable(split.withColumn("held", F.col("part") == "validation"))
-    model = M.boosted("held").fit(split.where("part <> 'test'"))
-    test = M.scored(model, split.where("part = 'test'"), keep=(C, M.LABEL))
-    return test.withColumn("trees", F.lit(model.getNumTrees))
+    data = _in_three(spark, folder)
+    model = B.grow(data, [B.Model(M.SCORE, B.Settings(), (0,), (1,))])[0]
+    test = B.margins(data, [model]).where("part = 2").select(C, F.col("y").alias(M.LABEL), M.SCORE)
+    return test.withColumns({"trees": F.lit(model.best), "grown": F.lit(len(model.trees)), "stop": F.lit(model.stop)})
+
+
+@query("ml_staged_auc")
+def _staged(spark, folder):
+    data = _in_three(spark, folder)
+    return T.staged_aucs(spark, T.sweep(data, {k: T.SWEEP[k] for k in ("shallow_quick", "even", "middle")}, 0, 1))
 
 
 @query("ml_persist")
 def _persist(spark, folder):
-    clients = fill_by_type(_clients(spark, folder), but=(C, Y)).withColumn(M.LABEL, F.col(Y).cast("double"))
-    learner = M.boosted().setWeightCol(M.WEIGHT)
-    pipeline = M.feature_pipeline(NUMERIC, CATEGORICAL, learner)
-    path = scratch_path(spark, "pipeline-model")
-    weighted = durable(S.with_class_weight(clients, M.LABEL, M.WEIGHT))
-    pipeline.fit(weighted).write().overwrite().save(path)
-    return M.scored(PipelineModel.load(path), weighted, keep=(C,))
+    data = _in_three(spark, folder)
+    path = scratch_path(spark, "boosted-model")
+    grown = B.grow(data, [B.Model(M.SCORE, B.Settings(step=0.2), (0,), (1,))])
+    B.node_table(spark, grown).write.parquet(path)
+    return B.margins(data, B.load(spark.read.parquet(path)), ()).select(C, M.SCORE)
 
 
 @query("ml_kfold_auc")
 def _kfold(spark, folder):
-    oof = M.out_of_fold(_folded(spark, folder, 5), M.boosted(), 5, [C, M.LABEL, "fold"])
-    return M.fold_aucs(oof)
+    data = _in_folds(spark, folder, 5, True)
+    models = T.fold_models(data, {M.SCORE: B.Settings(step=0.2)}, 5, NUMERIC, CATEGORICAL)
+    oof = T.out_of_fold(data, models, [M.SCORE], 5).select(C, F.col("y").alias(M.LABEL), F.col("part").alias("fold"), M.SCORE)
+    trees = spark.createDataFrame([(k, m.best, len(m.trees), m.stop) for k, m in enumerate(models)], "fold int, trees int, grown int, stop string")
+    return M.fold_aucs(oof).join(F.broadcast(trees), "fold")
 
 
 @query("ml_config_sweep")
 def _sweep(spark, folder):
-    train, test = _parts(spark, folder)
-    return M.config_sweep(train, test, M.CONFIGS)
+    data = _in_three(spark, folder)
+    return T.ranked(data, T.sweep(data, T.SWEEP, 0, 1), 2)
 
 
 @query("ml_random_search")
 def _random(spark, folder):
-    train, test = _parts(spark, folder)
-    return M.config_sweep(train, test, M.random_configs(6, seed=3))
+    return T.trial_table(spark, T.searched(_in_three(spark, folder), 0, 1, 16, seed=3, adaptive=False)[0])
+
+
+@query("ml_tpe_search")
+def _adaptive(spark, folder):
+    return T.trial_table(spark, T.searched(_in_three(spark, folder), 0, 1, 16, seed=3)[0])
 
 
 @query("ml_mlp")
@@ -88,11 +115,13 @@ def _mlp(spark, folder):
     return M.scored(M.perceptron(train, len(NAMES)), test, keep=(C, M.LABEL))
 
 
+_PAIR = {"score_shallow": B.Settings(step=0.2, depth=3), "score_deep": B.Settings(step=0.2, depth=6)}
+
+
 def _oof_pair(spark, folder):
-    folded = _folded(spark, folder, 3)
-    first = M.out_of_fold(folded, M.boosted(), 3, [C, M.LABEL, "fold"], "score_shallow")
-    second = M.out_of_fold(folded, M.boosted(maxDepth=6), 3, [C], "score_deep")
-    return durable(first.join(second, C))
+    data = _in_folds(spark, folder, 3, True)
+    models = T.fold_models(data, _PAIR, 3, NUMERIC, CATEGORICAL)
+    return durable(T.out_of_fold(data, models, list(_PAIR), 3).select(C, F.col("y").alias(M.LABEL), F.col("part").alias("fold"), *_PAIR))
 
 
 @query("ens_oof")
@@ -112,53 +141,60 @@ def _platt(spark, folder):
     return M.platt(A.scores(spark, folder).select("row_id", "y", "score_a"), "score_a", "y")
 
 
-@query("cal_isotonic")
+@query("cal_isotonic", statement(f"""
+SELECT row_id, y, {settled("score_a")} AS score_a, {settled("v")} AS calibrated FROM v_scores JOIN (
+ SELECT i, MAX(g) AS v FROM (SELECT f, t AS i, MIN(a) OVER (PARTITION BY f ORDER BY t DESC) AS g FROM spans) GROUP BY i) ON i = score_a""", (
+    "points", "SELECT score_a AS s, SUM(y)::DOUBLE AS y, COUNT(*)::DOUBLE AS w FROM v_scores GROUP BY score_a"), (
+    "spans", """SELECT f.s AS f, t.s AS t, (t.y - f.y + f.own) / (t.w - f.w + f.n) AS a FROM
+ (SELECT s, y AS own, w AS n, SUM(y) OVER (ORDER BY s) AS y, SUM(w) OVER (ORDER BY s) AS w FROM points) f JOIN
+ (SELECT s, SUM(y) OVER (ORDER BY s) AS y, SUM(w) OVER (ORDER BY s) AS w FROM points) t ON f.s <= t.s""")))
 def _isotonic(spark, folder):
-    return M.isotonic(A.scores(spark, folder).select("row_id", "y", "score_a"), "score_a", "y")
+    out = isotonic(A.scores(spark, folder).select("row_id", "y", "score_a"), "score_a", "y")
+    return out.withColumns({"score_a": settle("score_a"), "calibrated": settle("calibrated")})
 
 
 @query("exp_gain")
 def _gain(spark, folder):
     train, _ = _parts(spark, folder)
-    return M.top_features(M.boosted().fit(train), NAMES, 30)
+    return M.top_features(_fitted(train), NAMES, 30)
 
 
 @query("exp_gain_average")
 def _gain_average(spark, folder):
     train, _ = _parts(spark, folder)
-    learners = [M.boosted(maxDepth=3), M.boosted(maxDepth=6)]
-    return M.average_importances(M.in_parallel([lambda b=b: b.fit(train) for b in learners]), NAMES)
+    return M.average_importances(M.in_parallel([lambda d=d: _fitted(train, maxDepth=d) for d in (3, 6)]), NAMES)
 
 
 @query("sel_importance")
 def _importance(spark, folder):
     balanced = durable(S.undersample(_ready(spark, folder), M.LABEL, C, 1.0, seed=7))
-    return M.top_features(M.boosted().fit(balanced), NAMES, 5)
+    return M.top_features(_fitted(balanced), NAMES, 5)
 
 
 @query("exp_permutation")
 def _permutation(spark, folder):
     train, test = _parts(spark, folder)
-    return X.permutation_importance(M.boosted().fit(train), test, C, NAMES)
+    return X.permutation_importance(_fitted(train), test, C, NAMES)
 
 
 @query("exp_drop_column")
 def _drop_column(spark, folder):
     train, test = _parts(spark, folder)
-    top = [r["feature"] for r in M.top_features(M.boosted().fit(train), NAMES, 50).collect()]
-    return X.drop_column_importance(train, test, NAMES, top)
+    held = durable(S.stratified_split(train, M.LABEL, C, 0.15, seed=11, name="_held").withColumn("held", F.col("_held") == "test"))
+    top = [r["feature"] for r in M.top_features(M.boosted("held").fit(held), NAMES, 50).collect()]
+    return X.drop_column_importance(held, test, NAMES, top, validation="held")
 
 
 @query("exp_tree_shap")
 def _tree_shap(spark, folder):
     train, test = _parts(spark, folder)
-    return X.tree_attributions(M.boosted().fit(train), test, C, NAMES)
+    return X.tree_attributions(_fitted(train), test, C, NAMES)
 
 
 @query("exp_sampled_shapley")
 def _sampled(spark, folder):
     train, test = _parts(spark, folder)
-    model = M.boosted().fit(train)
+    model = _fitted(train)
     background, explained = X.sampled_rows(train, C, 100, seed=1), X.sampled_rows(test, C, 500, seed=2)
     return X.sampled_attributions(model, explained, background, C, NAMES, samples=200)
 

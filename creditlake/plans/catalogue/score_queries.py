@@ -11,6 +11,8 @@ from creditlake.operators import evaluate as E
 from creditlake.operators import sampling as S
 from creditlake.operators.cleaning import fill_by_type
 from creditlake.operators.smote import smote_then_undersample
+from creditlake.operators.neighbour_information import neighbour_information
+from creditlake.operators.target_stats import target_statistic
 from creditlake.plans.catalogue.registry import query
 from creditlake.plans.catalogue.sqltext import mix, settled, settled_columns, statement
 from creditlake.sources import analog as A
@@ -159,6 +161,19 @@ def _standardise(spark, folder):
     return settle_all(N.standardise(split, _SCALED, F.col("part") == "train").select(*KEY, *_SCALED), KEY)
 
 
+@query("enc_target_stat", statement(f"""
+SELECT SK_ID_CURR, CODE_GENDER, {settled("(sy + p) / (sn + 1)")} AS past FROM (
+ SELECT SK_ID_CURR, CODE_GENDER, p, CASE WHEN t = 1 THEN COALESCE(SUM(y) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE SUM(y) OVER g END AS sy,
+  CASE WHEN t = 1 THEN COALESCE(SUM(t) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE SUM(t) OVER g END AS sn
+ FROM (SELECT *, CASE WHEN SK_ID_CURR % 5 > 0 THEN 1 ELSE 0 END AS t, CASE WHEN SK_ID_CURR % 5 > 0 THEN TARGET ELSE 0 END AS y,
+   (SELECT AVG(TARGET) FROM v_application WHERE SK_ID_CURR % 5 > 0) AS p FROM v_application)
+ WINDOW w AS (PARTITION BY CODE_GENDER ORDER BY {mix(C, 7)}, SK_ID_CURR), g AS (PARTITION BY CODE_GENDER))"""))
+def _target_stat(spark, folder):
+    app = _app(spark, folder).select(C, "CODE_GENDER", "TARGET")
+    out = target_statistic(app, "CODE_GENDER", "TARGET", C, {"past": F.col(C) % 5 > 0}, seed=7)
+    return out.select(C, "CODE_GENDER", settle("past").alias("past"))
+
+
 _FEATS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "DAYS_BIRTH", "DAYS_EMPLOYED",
           "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 _FILLED = ("filled", " UNION ALL ".join(
@@ -194,6 +209,30 @@ def _mutual(spark, folder):
     return best.withColumn("mutual_info", settle("mutual_info"))
 
 
+def _psi(n: str) -> str:
+    """The digamma function of a whole number."""
+    x = f"({n} + 10)"
+    return (f"(LN({x}) - 1 / (2.0::DOUBLE * {x}) - 1 / (12.0::DOUBLE * POW({x}, 2)) + 1 / (120 * POW({x}, 4)) - 1 / (252 * POW({x}, 6)) + 1 / (240 * POW({x}, 8))"
+            f" - 1 / (132 * POW({x}, 10)) - " + " - ".join(f"1.0::DOUBLE / ({n} + {i})" for i in range(10)) + ")")
+
+
+@query("sel_mutual_info_near", statement(f"""
+SELECT feature, {settled("GREATEST(0, mi)")} AS mutual_information FROM (
+ SELECT feature, {_psi("COUNT(*)")} + AVG({_psi("k")}) - AVG({_psi("c")}) - AVG({_psi("m")}) AS mi FROM (
+  SELECT a.feature, a.row, a.k, a.c, COUNT(*) AS m FROM (
+   SELECT *, LEAST(3, c - 1) AS k, near[LEAST(3, c - 1) + 1] AS r FROM (
+    SELECT a.feature, a.row, a.value, a.c, MIN(ABS(a.value - b.value), 4) AS near
+    FROM own a JOIN own b ON a.feature = b.feature AND a.TARGET = b.TARGET GROUP BY a.feature, a.row, a.value, a.c)) a
+  JOIN own b ON a.feature = b.feature AND ((r > 0 AND b.value > a.value - r AND b.value < a.value + r) OR (r = 0 AND b.value = a.value)) GROUP BY ALL)
+ GROUP BY feature) ORDER BY mi DESC, feature LIMIT 5""", _FILLED, ("own", """
+SELECT feature, TARGET, value, c, ROW_NUMBER() OVER (PARTITION BY feature) AS row FROM (
+ SELECT *, COUNT(*) OVER (PARTITION BY feature, TARGET) AS c FROM filled) WHERE c > 1""")))
+def _mutual_near(spark, folder):
+    app = fill_by_type(_app(spark, folder).select("TARGET", *_FEATS))
+    best = N.select_best(neighbour_information(app, _FEATS, "TARGET"), "mutual_information", 5)
+    return best.withColumn("mutual_information", settle("mutual_information"))
+
+
 # ---- evaluation
 
 Y, P = "y", "score_a"

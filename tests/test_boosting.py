@@ -1,4 +1,4 @@
-"""Boosted trees, target statistics and the search, against plain versions."""
+"""Boosted trees, target statistics, the search, neighbour information and calibration, against plain versions."""
 
 import math
 
@@ -11,6 +11,8 @@ from creditlake.operators import boosting as B
 from creditlake.operators import models as M
 from creditlake.operators import search as S
 from creditlake.operators.evaluate import roc_auc
+from creditlake.operators.isotonic import isotonic
+from creditlake.operators.neighbour_information import neighbour_information
 from creditlake.operators.target_stats import target_statistic
 
 
@@ -192,7 +194,7 @@ def test_statistics_never_see_their_own_label(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.choice(["u", "u", "u", "v", None, f"z{i}"]), float(rng.integers(2)), bool(rng.random() < 0.7)) for i in range(300)]
     df = spark.createDataFrame([(i, c, y if i % 50 else None, t) for i, c, y, t in rows], "id long, c string, y double, t boolean")
-    got = {r["id"]: r for r in target_statistic(df, "c", "y", "id", F.col("t"), "s", 2.0, 5).withColumn("o", F.expr("1")).collect()}
+    got = {r["id"]: r for r in target_statistic(df, "c", "y", "id", {"s": F.col("t"), "none": F.lit(False)}, 2.0, 5).withColumn("o", F.expr("1")).collect()}
     from creditlake.functions.ordering import mix
 
     order = {r["id"]: r["m"] for r in df.select("id", mix("id", 5).alias("m")).collect()}
@@ -200,8 +202,8 @@ def test_statistics_never_see_their_own_label(spark):
     prior = np.mean([y for _, _, y in used])
     for i, c, _, t in rows:
         own = [y for j, d, y in used if d == c and (not (t and i % 50) or order[j] < order[i])]
-        assert got[i]["s"] == pytest.approx((sum(own) + 2 * prior) / (len(own) + 2))
-    assert target_statistic(df.limit(0), "c", "y", "id", F.col("t"), "s").count() == 0
+        assert got[i]["s"] == pytest.approx((sum(own) + 2 * prior) / (len(own) + 2)) and got[i]["none"] == 0
+    assert target_statistic(df.limit(0), "c", "y", "id", {"s": F.col("t")}).count() == 0
 
 
 def peak(values, budget):
@@ -247,3 +249,88 @@ def test_densities():
     assert (0 <= drawn).all() and (drawn <= 1).all()
     assert np.histogram(drawn, 4, (0, 1))[0] / 1000 == pytest.approx([p.density(u[k * 5000 : (k + 1) * 5000]).mean() for k in range(4)], abs=0.1)
     assert {S.Range(2, 4, whole=True).at(v) for v in (0, 0.4, 0.99, 1.0)} == {2, 3, 4} and S.Range(1, 100, log=True).at(0.5) == pytest.approx(10)
+
+
+def digamma(n):
+    return -0.57721566490153286 + sum(1 / i for i in range(1, n))
+
+
+def plain_information(rows, k):
+    """The estimator by comparing all rows."""
+    rows = [(x, c) for x, c in rows if x is not None and not math.isnan(x) and c is not None]
+    size = {c: sum(d == c for _, d in rows) for _, c in rows}
+    rows = [(x, c) for x, c in rows if size[c] > 1]
+    total = 0.0
+    for i, (x, c) in enumerate(rows):
+        own = min(k, size[c] - 1)
+        r = sorted(abs(x - z) for j, (z, d) in enumerate(rows) if d == c and j != i)[own - 1]
+        m = sum((x - r < z < x + r) if r else z == x for z, _ in rows)
+        total += digamma(own) - digamma(size[c]) - digamma(m)
+    return max(0.0, digamma(len(rows)) + total / len(rows))
+
+
+@pytest.mark.parametrize(("k", "block"), [(3, 4096), (3, 5), (1, 2), (5, 7)])
+def test_neighbour_information_is_the_plain_one(spark, k, block):
+    rng = np.random.default_rng(k)
+    c = rng.integers(0, 3, 500)
+    a = rng.normal(size=500) + c
+    table_ = [(i, float(a[i]) if i % 9 else None, float(round(rng.normal() * 3)), float(i % 2) if i % 7 else float("nan"), None if i % 50 == 3 else int(c[i])) for i in range(500)] + [(900, 5.0, 5.0, 5.0, 77)]
+    df = spark.createDataFrame(table_, "id long, a double, b double, t double, c int")
+    got = {r[0]: r[1] for r in neighbour_information(df, ["a", "b", "t"], "c", k, block).collect()}
+    for j, f in enumerate("abt"):
+        assert got[f] == pytest.approx(plain_information([(r[1 + j], r[4]) for r in table_], k), abs=1e-10)
+    assert got["a"] > 0.2 > got["b"]
+    assert neighbour_information(df.limit(0), ["a"], "c").count() == 0
+
+
+def plain_isotonic(rows):
+    """Pooling of neighbouring blocks, one by one."""
+    by = {}
+    for s, y in rows:
+        if s is not None and not math.isnan(s) and y is not None:
+            by.setdefault(s, []).append(y)
+    blocks = []
+    for s in sorted(by):
+        blocks.append([sum(by[s]), len(by[s]), [s]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            y, n, own = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + y, blocks[-1][1] + n, blocks[-1][2] + own]
+    return {s: y / n for y, n, own in blocks for s in own}
+
+
+@pytest.mark.parametrize(("seed", "partitions"), [(1, 1), (2, 8), (3, 40)])
+def test_isotonic_is_the_plain_one(spark, monkeypatch, seed, partitions):
+    import creditlake.operators.isotonic as iso
+
+    monkeypatch.setattr(iso, "FAN", 2)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rng = np.random.default_rng(seed)
+        s = np.round(rng.normal(size=400), seed)
+        rows = [(float(x), float(rng.random() < 1 / (1 + math.exp(-2 * x)))) for x in s]
+        rows += [(None, 1.0), (float("nan"), 0.0), (-99.0, None), (0.0123456, None), (99.0, None)] + [(0.5, 1.0)] * 200
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, s double, y double")
+        got = {r["id"]: r["c"] for r in iso.isotonic(df, "s", "y", "c").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    want = plain_isotonic(rows)
+    known = sorted(want)
+    assert len(got) == len(rows)
+    for i, (x, y) in enumerate(rows):
+        if x is None or math.isnan(x):
+            assert got[i] is None
+        elif x in want:
+            assert got[i] == pytest.approx(want[x], abs=1e-12)
+        else:
+            low = want[max([k for k in known if k < x], default=known[0])]
+            assert low <= got[i] <= want[min([k for k in known if k > x], default=known[-1])]
+
+
+def test_isotonic_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (2, None, 1.0)], "id long, s double, y double")
+    assert [r["calibrated"] for r in isotonic(df, "s", "y").collect()] == [None, None]
+    assert isotonic(df.limit(0), "s", "y").count() == 0
+    assert sorted(r["calibrated"] for r in isotonic(df.withColumn("y", F.lit(1)).withColumn("s", F.lit(2.0)), "s", "y").collect()) == [1.0, 1.0]

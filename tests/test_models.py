@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -13,6 +14,7 @@ from creditlake.operators import explain as X
 from creditlake.operators import history as H
 from creditlake.operators import models as M
 from creditlake.operators import scoring as R
+from creditlake.operators import tuning as T
 from creditlake.operators.profile import _two_sided
 from creditlake.operators.smote import nearest, nearest_hashed, smote
 from creditlake.sources import schemas
@@ -141,10 +143,29 @@ def auc(rows, score, label="label"):
     return np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
 
 
+def stopped_by_the_data(rows, patience=20):
+    """Growth ended on its own, below limits in the thousands."""
+    assert all(r["stop"] in ("patience", "no split", "halved") for r in rows)
+    assert all(1 <= r["trees"] <= r["grown"] < 1000 for r in rows)
+    assert all(r["grown"] - r["trees"] >= patience for r in rows if r["stop"] == "patience")
+
+
 def test_query_gbt_stops_early_and_scores(spark):
     rows = run(spark, "ml_gbt")
     scores_are_probabilities(rows)
-    assert len({r["trees"] for r in rows}) == 1 and 1 <= rows[0]["trees"] <= 20
+    assert len({r["trees"] for r in rows}) == 1
+    stopped_by_the_data(rows)
+
+
+def test_query_staged_auc(spark):
+    by = {}
+    for r in run(spark, "ml_staged_auc"):
+        by.setdefault(r["config"], []).append(r)
+    assert len(by) == 3
+    for own in by.values():
+        own.sort(key=lambda r: r["trees"])
+        assert [r["trees"] for r in own] == list(range(1, len(own) + 1))
+        assert [r["trees"] for r in own if r["is_best"]] == [int(np.argmax([r["auc"] for r in own])) + 1]
 
 
 def test_query_persist_scores_all_clients(spark):
@@ -153,22 +174,36 @@ def test_query_persist_scores_all_clients(spark):
     assert len(rows) == 150
 
 
+def test_pipeline_with_a_learner_is_persistable(spark, tmp_path):
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("string").alias("kind"), F.rand(1).alias("a"), F.lit(1.0).alias(M.WEIGHT))
+    df = df.withColumn(M.LABEL, (F.col("a") > 0.5).cast("double"))
+    M.feature_pipeline(["a"], ["kind"], M.boosted(maxIter=3)).fit(df).write().overwrite().save(str(tmp_path / "m"))
+    scores_are_probabilities(M.scored(PipelineModel.load(str(tmp_path / "m")), df, keep=("id",)).collect())
+
+
 def test_query_kfold(spark):
     rows = run(spark, "ml_kfold_auc")
     assert sorted(r["fold"] for r in rows) == [0, 1, 2, 3, 4]
     assert rows[0]["mean_auc"] == pytest.approx(np.mean([r["auc"] for r in rows]))
     assert rows[0]["std_auc"] == pytest.approx(np.std([r["auc"] for r in rows]))
+    stopped_by_the_data(rows)
 
 
 def test_query_configurations_run_as_defined(spark):
     rows = run(spark, "ml_config_sweep")
-    assert {r["config"]: r["trees"] for r in rows} == {k: v["maxIter"] for k, v in M.CONFIGS.items()}
+    assert {r["config"] for r in rows} == set(T.SWEEP) and min(s.trees for s in T.SWEEP.values()) >= 3000
     assert [r["auc"] for r in rows] == sorted((r["auc"] for r in rows), reverse=True)
+    stopped_by_the_data(rows)
 
 
-def test_query_random_search(spark):
-    rows = run(spark, "ml_random_search")
-    assert {r["config"]: r["trees"] for r in rows} == {k: v["maxIter"] for k, v in M.random_configs(6, seed=3).items()}
+@pytest.mark.parametrize("key", ["ml_random_search", "ml_tpe_search"])
+def test_queries_of_the_search(spark, key):
+    rows = sorted(run(spark, key), key=lambda r: r["trial"])
+    assert [r["trial"] for r in rows] == list(range(len(rows))) and {r["batch"] for r in rows} == {0, 1}
+    for r in rows:
+        assert all(T.SPACE[n].low <= r[n] <= T.SPACE[n].high for n in T.SPACE)
+        assert r["stop"] in ("patience", "no split", "halved") and 1 <= r["trees"] <= r["grown"] < 1000
+    assert max(r["rungs"] for r in rows) > 1 and any(r["stop"] == "halved" for r in rows)
 
 
 def test_query_perceptron(spark):

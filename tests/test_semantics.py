@@ -17,6 +17,7 @@ from creditlake.operators import history as H
 from creditlake.operators import models as M
 from creditlake.operators import sampling as S
 from creditlake.operators import scoring as R
+from creditlake.operators.isotonic import isotonic
 from creditlake.operators.profile import t_test, with_p_value
 from creditlake.operators.smote import nearest
 from creditlake.plans.client_features import key_quality
@@ -230,7 +231,7 @@ def test_tree_attributions_add_up(spark):
 
 def test_calibrated_scores_are_monotone(spark):
     df = spark.range(400).select("id", (F.col("id") / 400).alias("s"), (F.rand(7) < F.col("id") / 400).cast("int").alias("y"))
-    iso = [r["calibrated"] for r in M.isotonic(df, "s", "y").orderBy("s").collect()]
+    iso = [r["calibrated"] for r in isotonic(df, "s", "y").orderBy("s").collect()]
     assert all(a <= b + 1e-12 for a, b in zip(iso, iso[1:])) and 0 <= iso[0] and iso[-1] <= 1
 
 
