@@ -137,36 +137,72 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], sums: lis
     return placed.withColumnRenamed("_slice", slice_name) if slice_name else placed.drop("_slice")
 
 
+#: Parts an interval is cut into when values are counted anew, and parts of an octave in the first count.
+PARTS, OCTAVE_PARTS = 65_536, 64
+
+
+def _octave(x: Column) -> Column:
+    """A whole number that never falls as x rises: sign, power of two, and a part of it. Infinities and NaN, which is
+    the greatest of all, have numbers of their own."""
+    size = F.floor(F.log2(F.abs(x)) * OCTAVE_PARTS) + 100_000
+    far = F.abs(x) == F.lit(float("inf"))
+    finite = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * F.when(far, F.lit(1_000_000)).otherwise(size))
+    return F.when(F.isnan(x), F.lit(2_000_000)).otherwise(finite).cast("long")
+
+
+def _part(x: Column, low: Column, high: Column) -> Column:
+    """The number of the equal part of low to high that x lies in. Halves keep the width of a wide interval finite."""
+    return F.least(F.floor((x / 2 - low / 2) / (high / 2 - low / 2) * PARTS), F.lit(PARTS - 1)).cast("long")
+
+
+def _narrowed(wanted: DataFrame, counted: DataFrame, groups: list[str], keys: list[str], part: str) -> DataFrame:
+    """wanted (groups, place, low, high, before) with the interval of the part that its place falls in; counted has n,
+    low and high of each part of each interval that keys name."""
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(part))
+    cut = counted.withColumn("_to", upto).select(*keys, F.col("n").alias("_n"), "_to", F.col("min").alias("_min"), F.col("max").alias("_max"))
+    joined = join_null_safe(wanted, cut, keys)
+    inside = joined.where((F.col("place") >= F.col("before") + F.col("_to") - F.col("_n")) & (F.col("place") < F.col("before") + F.col("_to")))
+    return inside.select(*groups, "place", F.col("_min").alias("low"), F.col("_max").alias("high"), (F.col("before") + F.col("_to") - F.col("_n")).alias("before"))
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Linearly interpolated quantiles: one row per (by, feature), one column ``q<i>`` per probability.
 
-    Values are first counted, then located by running count, so no task holds a column. NULLs are ignored.
-    """
+    The values at the wanted places are found by counting. A first pass counts values by octave parts, which tells the
+    part that each place falls in, with its least and greatest value; further passes cut these intervals into PARTS equal
+    ones and count again, until each interval is one value. A pass sends one count for each part that a task has seen, so
+    nothing that moves grows with the values, and no task holds a column. Most columns need two or three passes, any
+    column of finite doubles six at most. NULLs are ignored; NaN is greater than all other values."""
     by = by or []
     groups = [*by, "feature"]
-    counted = (
-        melt(df, columns, by)
-        .where(F.col("value").isNotNull())
-        .groupBy(*groups, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = running_totals(counted, groups, ["value"], ["n"])
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    aggs = []
+    values = melt(df, columns, by).where(F.col("value").isNotNull()).withColumn("value", F.col("value") + F.lit(0.0))
+    found = [F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max")]
+    first = durable(values.groupBy(*groups, _octave(F.col("value")).alias("part")).agg(*found))
+    rows = first.groupBy(*groups).agg(F.sum("n").alias("rows"))
+    places = [F.array(*[f((F.col("rows") - 1).cast("double") * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)])]
+    wanted = rows.select(*groups, F.explode(F.array_distinct(places[0])).alias("place"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("before"))
+    wanted = durable(_narrowed(wanted, first, groups, groups, "part"))
+    while True:
+        open_ = wanted.where(~F.col("low").eqNullSafe(F.col("high")))
+        left = open_.count()
+        if not left:
+            break
+        spans = open_.groupBy(*groups).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+        near = join_null_safe(values, F.broadcast(spans) if left <= BROADCAST_ROWS else spans, groups)
+        near = near.withColumn("span", F.get(F.filter("spans", lambda s: F.col("value").between(s["low"], s["high"])), F.lit(0))).where("span is not null")
+        near = near.select(*groups, "value", F.col("span.low").alias("low"), F.col("span.high").alias("high"))
+        counted = near.groupBy(*groups, "low", _part(F.col("value"), F.col("low"), F.col("high")).alias("part")).agg(*found)
+        narrowed = _narrowed(open_, counted, groups, [*groups, "low"], "part")
+        wanted = durable(wanted.where(F.col("low").eqNullSafe(F.col("high"))).unionByName(narrowed))
+    at = F.map_from_entries(F.collect_list(F.struct("place", "low")))
+    located = join_null_safe(rows, wanted.groupBy(*groups).agg(at.alias("_at")), groups)
+    quantiles = []
     for i, p in enumerate(probs):
-        place = (F.col("all_n") - 1).cast("double") * F.lit(float(p))
-        low, high = F.floor(place), F.ceil(place)
-        aggs += [
-            F.max(F.when((first <= low) & (low <= last), F.col("value"))).alias(f"_lo{i}"),
-            F.max(F.when((first <= high) & (high <= last), F.col("value"))).alias(f"_hi{i}"),
-            F.max(place - low).alias(f"_fr{i}"),
-        ]
-    located = placed.groupBy(*groups).agg(*aggs, F.max("all_n").alias("rows"))
-    values = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"q{i}")
-        for i in range(len(probs))
-    ]
-    return located.select(*groups, "rows", *values)
+        place = (F.col("rows") - 1).cast("double") * F.lit(float(p))
+        low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
+        below, above = F.element_at("_at", low), F.element_at("_at", high)
+        quantiles.append((below + (above - below) * (place - low)).alias(f"q{i}"))
+    return located.select(*groups, "rows", *quantiles)
 
 
 def quantile_row(df: DataFrame, columns: list[str], p: float) -> DataFrame:
