@@ -40,9 +40,44 @@ def bureau_balance_block(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     )
 
 
+def nested_balances(bureau: DataFrame, balance: DataFrame) -> DataFrame:
+    """Bureau credits with their balance rows as an array ``months``, NULL without any: a credit has some dozens."""
+    rows = balance.groupBy("SK_ID_BUREAU").agg(F.collect_list(F.struct("MONTHS_BALANCE", "STATUS")).alias("months"))
+    return bureau.join(rows, "SK_ID_BUREAU", "left")
+
+
+def nested_balance_block(credits: DataFrame) -> DataFrame:
+    """bureau_balance_block of credits that hold their balance rows, without a join or a group."""
+
+    def number(of) -> Column:
+        return F.coalesce(F.size(F.filter("months", of)), F.lit(0)).cast("long")
+
+    rows = F.nullif(F.size("months").cast("double"), F.lit(0.0))
+    here = F.col("months").isNotNull()
+
+    def late(m: Column) -> Column:
+        return m["STATUS"].isin(*LATE_STATUSES)
+
+    def severe(m: Column) -> Column:
+        return m["STATUS"].isin(*SEVERE_STATUSES)
+
+    measures = {
+        "dpd_count": number(late),
+        "severe_dpd_count": number(severe),
+        "dpd_ratio": F.coalesce(number(severe) / rows, F.lit(0.0)),
+        "recent_dpd": number(lambda m: (m["MONTHS_BALANCE"] >= -6) & late(m)),
+        "current_status_c": F.coalesce(number(lambda m: (m["MONTHS_BALANCE"] >= -3) & (m["STATUS"] == "C")) / rows, F.lit(0.0)),
+    }
+    return credits.withColumns({k: F.when(here, v).otherwise(F.lit(0)) for k, v in measures.items()}).drop("months")
+
+
 def bureau_block(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     """Bureau history per client: the credits, and the monthly status totals of each."""
-    credits = bureau_balance_block(bureau, balance)
+    return credits_block(bureau_balance_block(bureau, balance))
+
+
+def credits_block(credits: DataFrame) -> DataFrame:
+    """Bureau history per client, of credits that have their monthly status totals."""
     day, state = F.col("DAYS_CREDIT"), F.col("CREDIT_ACTIVE")
     active = state == "Active"
     debt = F.coalesce(F.col("AMT_CREDIT_SUM_DEBT"), F.lit(0.0))

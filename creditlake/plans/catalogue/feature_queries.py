@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from creditlake.functions.expr import settle_all
+from creditlake.functions.ordering import scratch_path
 from creditlake.operators import blocks as B
 from creditlake.operators import derive as D
 from creditlake.plans.catalogue import block_sql as S
 from creditlake.plans.catalogue.registry import query
 from creditlake.plans.catalogue.sqltext import settled_columns, statement
-from creditlake.plans.client_features import client_blocks, client_features
+from creditlake.plans.client_features import bucketed_client_blocks, client_blocks, client_features, save_bucketed
 from creditlake.sources import analog as A
 
 KEY = ["SK_ID_CURR"]
@@ -63,6 +64,15 @@ def _chain(spark, folder):
     return settle_all(out.select(*KEY, *[c for b in S.BLOCKS for c in S.COLS[b]]), KEY)
 
 
+@query("join_client_bucketed", _sql([c for b in S.BLOCKS for c in S.COLS[b]], "base", S.BLOCK_CTES))
+def _bucketed(spark, folder):
+    path = scratch_path(spark, "bucketed")
+    prefix = "bucketed_" + path.rsplit("-", 1)[-1] + "_"
+    save_bucketed(A.credit_tables(spark, folder), prefix, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = bucketed_client_blocks(spark, prefix)
+    return settle_all(out.select(*KEY, *[c for b in S.BLOCKS for c in S.COLS[b]]), KEY)
+
+
 _DEFAULTS_BODY = (
     "SELECT a.SK_ID_CURR, "
     + settled_columns(S.COLS["e2"])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.operators import blocks as B
 from creditlake.operators import derive as D
+from creditlake.sources.sinks import save_table
 
 
 def client_blocks(t: dict[str, DataFrame]) -> DataFrame:
@@ -22,6 +23,26 @@ def client_blocks(t: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def save_bucketed(t: dict[str, DataFrame], prefix: str, folder: str, buckets: int) -> None:
+    """The credit tables as tables <prefix><name> in the folder, all in as many buckets of clients. A client's rows of
+    every table are in the bucket of the same number; balance rows are kept inside their credit."""
+    nested = B.nested_balances(t["bureau"], t["bureau_balance"])
+    for name, df in {**t, "bureau": nested}.items():
+        if name != "bureau_balance":
+            save_table(df, f"{prefix}{name}", B.CLIENT, buckets, f"{folder}/{name}")
+
+
+def bucketed_client_blocks(spark: SparkSession, prefix: str) -> DataFrame:
+    """client_blocks of bucketed tables: groups and joins all stay within their bucket, so nothing is exchanged. For
+    tables under the broadcast limit Spark may still choose to broadcast a block."""
+    out = spark.table(f"{prefix}application")
+    blocks = {"bureau": lambda df: B.credits_block(B.nested_balance_block(df)), "previous": B.previous_block, "credit_card": B.credit_card_block,
+              "installments": B.installments_block, "pos_cash": B.pos_cash_block}
+    for name, block in blocks.items():
+        out = B.attach(out, block(spark.table(f"{prefix}{name}")), B.BUREAU_DEFAULTS if name == "bureau" else None)
+    return out
+
+
 DERIVED_FAMILIES = (
     D.derive_basic,
     D.derive_cross,

@@ -33,11 +33,15 @@ def register_tables(tables: dict[str, DataFrame], prefix: str = "") -> list[str]
     return names
 
 
-def save_table(df: DataFrame, name: str, bucket_key: str | None = None, buckets: int = 0) -> None:
-    """Managed table; bucket it on the client key when the same build is repeated, so later joins need no shuffle."""
-    writer = df.write.mode("overwrite").option("compression", "snappy")
-    if bucket_key and buckets:
+def save_table(df: DataFrame, name: str, bucket_key: str | None = None, buckets: int = 0, path: str | None = None) -> None:
+    """Table of the catalog, in the given folder or the warehouse. Bucket it on the client key when the same build is
+    repeated, so later joins need no shuffle; a bucket is then one sorted file."""
+    bucketed = bucket_key and buckets
+    writer = (df.repartition(buckets, bucket_key) if bucketed else df).write.mode("overwrite").option("compression", "snappy")
+    if bucketed:
         writer = writer.bucketBy(buckets, bucket_key).sortBy(bucket_key)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(name)
 
 

@@ -278,3 +278,33 @@ def test_streaming_requests_match_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("request_id").collect()
     want = R.what_if(asked, features, recompute=True).orderBy("request_id").collect()
     assert got == want and [r["found"] for r in got] == [1, 0]
+
+
+def test_bucketed_tables_are_joined_without_an_exchange(spark, tmp_path):
+    from creditlake.plans.client_features import bucketed_client_blocks, client_blocks, save_bucketed
+    from creditlake.sources import analog
+
+    tables = analog.credit_tables(spark, "/root/testdata/sf0.001")
+    save_bucketed(tables, "t_bucketed_", str(tmp_path), 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = bucketed_client_blocks(spark, "t_bucketed_")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 5
+        got, want = ({r["SK_ID_CURR"]: r.asDict() for r in df.collect()} for df in (out, client_blocks(tables)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        assert all(got[k][c] == pytest.approx(v) for c, v in row.items())
+
+
+def test_nested_balances_are_the_joined_ones(spark):
+    from creditlake.operators.blocks import bureau_balance_block, nested_balance_block, nested_balances
+
+    bureau = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (None, 12)], "SK_ID_BUREAU long, SK_ID_CURR long")
+    rows = [(1, -1, "C"), (1, -2, "5"), (1, -9, "1"), (1, None, "2"), (2, -1, None), (9, -1, "1")]
+    balance = spark.createDataFrame(rows, "SK_ID_BUREAU long, MONTHS_BALANCE int, STATUS string")
+    nested, joined = nested_balance_block(nested_balances(bureau, balance)), bureau_balance_block(bureau, balance)
+    assert sorted(map(str, nested.select(joined.columns).collect())) == sorted(map(str, joined.collect()))
