@@ -14,31 +14,58 @@ from pyspark.sql import DataFrame
 from creditlake.llm.html_tree import Node, Page, parsed
 from creditlake.llm.store import tidy
 
-_TAGS = ("page", "html", "body", "article", "main", "section", "nav", "aside", "header", "footer", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "form", "blockquote", "pre", "figure")
+_TAGS = ("page", "html", "body", "article", "main", "section", "nav", "aside", "header", "footer", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "form", "blockquote", "pre", "figure", "dl", "dt", "dd", "figcaption", "h4")
 _HINTS = tuple(re.compile(p) for p in (
     r"\b(?:ads?|advert\w*|promo\w*|sponsor\w*|banner)\b", r"nav|menu|breadcrumb|pagination|pager", r"foot|copyright|colophon", r"masthead|topbar|site-?head|\bheader\b", r"side|related|widget|recommend|trending",
     r"comment|repl(?:y|ies)|disqus|discussion", r"cookie|consent|notice|popup|modal|gdpr|alert", r"share|social|follow|subscri|newsletter|signup|login|search", r"article|content|post|entry|story|main|body|text",
 ))
+#: Fixed words of headings, in the languages of the tables, above reader comments and above further links.
+_HEADINGS = tuple(re.compile(p) for p in (
+    r"\b(?:\d+ )?(?:comments?|repl(?:y|ies)|discussion|kommentare?|commentaires?|comentarios?)\b", r"\b(?:related|read more|more (?:from|on|stories)|see also|trending|mehr zum|lire aussi|voir aussi|relacionad[oa]s?)\b",
+))
+_NOTHING = (False,) * len(_HEADINGS)
+_HEADED = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_PROSE = frozenset(("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"))
 #: Fixed words that tell the template parts of training pages.
 _WORDS = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work government number night point home water room mother area money story fact month lot right study book eye job word business issue side kind head house service friend father power hour game line end member law car city community name".split()
 
 
 def features(page: Page) -> np.ndarray:
     """A row of numbers for each node: tag, hints in class, id and role, own text, links, and place."""
-    out = np.zeros((len(page.nodes), len(_TAGS) + len(_HINTS) + 9))
     at = len(_TAGS) + len(_HINTS)
+    out = np.zeros((len(page.nodes), at + 9 + len(_HEADINGS) + 2))
     below, links = [n.chars for n in page.nodes], [n.linked for n in page.nodes]
     for i in range(len(page.nodes) - 1, 0, -1):
         below[page.nodes[i].parent] += below[i]
         links[page.nodes[i].parent] += links[i]
+    under = _under_headings(page)
     for i, n in enumerate(page.nodes):
         row = out[i]
         row[_TAGS.index(n.tag) if n.tag in _TAGS else 10] = 1
         row[len(_TAGS) : at] = _hints(n.words)
+        inside = n.parent >= 0 and page.nodes[n.parent].tag in ("page", "html", "body")
+        row[at + 9 : at + 9 + len(_HEADINGS)] = under[i]
+        row[-2:] = inside and n.tag in _PROSE, inside and n.tag not in _PROSE
         row[at : at + 9] = 1, n.chars == 0, n.chars > 40, n.chars > 200, links[i] > 0.5 * max(1, below[i]), below[i] > 0 and links[i] < 0.2 * below[i], below[i] > 500, i / len(page.nodes), below[i] / max(1, below[0])
     return out
 
 
+def _under_headings(page: Page) -> list[tuple[bool, ...]]:
+    """For each node, what the last heading before it in its parent announces, or before one that it is in (a heading
+    itself announces its own): by its words, comments or further links."""
+    says: dict[int, str] = {}
+    for node, said in page.runs:
+        says[node] = f"{says[node]} {said}" if node in says else said
+    last: dict[int, tuple[bool, ...]] = {}
+    out = []
+    for i, n in enumerate(page.nodes):
+        if n.tag in _HEADED and len(said := says.get(i, "")) <= 60:
+            last[n.parent] = tuple(bool(p.search(said.lower())) for p in _HEADINGS)
+        own, above = last.get(n.parent, _NOTHING), out[n.parent] if i else _NOTHING
+        out.append(tuple(a or b for a, b in zip(own, above, strict=True)))
+    return out
+
+
 def _hints(words: str) -> tuple[bool, ...]:
     return tuple(bool(p.search(words)) for p in _HINTS) if words else (False,) * len(_HINTS)
 
@@ -130,9 +157,14 @@ def labelled(html: str) -> tuple[Page, np.ndarray]:
     return page, y
 
 
-def training_pages(n: int = 240, seed: int = 7) -> list[str]:
-    """Labelled pages of many layouts: articles in all usual containers, among menus, headers, footers, sidebars, notices,
-    adverts, forms, related links and reader comments, with tags left open here and there."""
+#: Ways in which a training page holds its article.
+BOXES = ("article", "main", 'div class="content"', 'div id="post"', 'section class="story"', "div", "")
+
+
+def training_pages(n: int = 420, seed: int = 7, boxes: Sequence[str] = BOXES) -> list[str]:
+    """Labelled pages of many layouts: articles in all usual containers (or, for an empty box, straight in the body),
+    among menus, headers, footers, sidebars, notices, adverts, forms, related links and reader comments (marked by a
+    class or only by a heading), with captions, definitions and lists of links inside, and tags left open here and there."""
     rng = random.Random(seed)
 
     def said(lo: int, hi: int) -> str:
@@ -158,7 +190,13 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
                 out.append(f"<blockquote><p>{said(8, 40)}</p></blockquote>")
             elif kind < 0.93:
                 out.append("<table>" + "".join(f"<tr><td>{said(1, 4)}</td><td>{said(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
+            elif kind < 0.945:
+                out.append(f'<figure><img src="x.png"><figcaption>{said(3, 20)}</figcaption></figure>')
+            elif kind < 0.96:
+                out.append("<dl>" + "".join(f"<dt>{said(1, 3)}</dt><dd>{said(4, 30)}</dd>" for _ in range(rng.randint(2, 5))) + "</dl>")
             elif kind < 0.97:
+                out.append("<ul>" + "".join(f'<li><a href="/{w}">{said(2, 6)}</a> {maybe(0.5, said(3, 10))}</li>' for w in rng.choices(_WORDS, k=3)) + "</ul>")
+            elif kind < 0.98:
                 out.append(f'<div class="{rng.choice(("ad", "advert", "promo"))}" data-other>{said(4, 15)}</div>')
             else:
                 out.append(f'<p>{said(10, 30)} <a href="/x">{said(1, 3)}</a> {said(5, 20)}</p>')
@@ -166,19 +204,29 @@ def training_pages(n: int = 240, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(n):
-        box = rng.choice(("article", "article", "main", "div class=\"content\"", "div id=\"post\"", "section class=\"story\"", "div"))
-        tag = box.split()[0]
+        box = rng.choice(boxes)
         title = f"<h1>{said(3, 10)}</h1>"
+        title = f"<header>{title}{maybe(0.5, f'<p>{said(2, 8)}</p>')}</header>" if box == "article" and rng.random() < 0.3 else title
         body = maybe(0.8, title) + paragraphs(rng.randint(1, 9))
+        if rng.random() < 0.05:
+            body = maybe(0.5, title) + "<dl>" + "".join(f"<dt>{said(1, 3)}</dt><dd>{said(5, 40)}</dd>" for _ in range(rng.randint(3, 8))) + "</dl>"
         inside = maybe(0.1, f'<div class="share" data-other><ul>{links(3)}</ul></div>') + maybe(0.1, f'<div class="comments" data-other><p>{said(3, 30)}</p><p>{said(3, 30)}</p></div>')
         head = rng.choice(("", f"<header><h2>{said(1, 3)}</h2><p>{said(2, 6)}</p></header>", f'<div class="masthead">{said(1, 4)}</div>'))
         menu = rng.choice((f"<nav><ul>{links(6)}</ul></nav>", f'<div class="menu"><ul>{links(5)}</ul></div>', f"<ul>{links(7)}</ul>", ""))
         notices = "".join(maybe(0.25, x) for x in (f'<div class="ad">{said(4, 20)}</div>', f'<div class="cookie-notice"><p>{said(5, 25)}</p></div>', f'<div id="banner">{said(3, 10)}</div>', f"<form><p>{said(2, 5)}</p><input><p>{said(1, 3)}</p></form>"))
         side = "".join(maybe(0.25, x) for x in (f"<aside><h3>{said(1, 3)}</h3><p>{said(5, 30)}</p><ul>{links(4)}</ul></aside>", f'<div class="sidebar"><p>{said(5, 25)}</p><ul>{links(4)}</ul></div>', f'<section class="related"><h2>{said(1, 3)}</h2><ul>{links(4)}</ul></section>'))
-        talk = maybe(0.3, f'<section class="comments"><h3>{said(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{said(3, 40)}</p></div>' for _ in range(rng.randint(1, 4))) + "</section>")
+        talk = maybe(0.3, f'<section class="comments" data-other><h3>{said(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{said(3, 40)}</p></div>' for _ in range(rng.randint(1, 4))) + "</section>")
+        heading = rng.choice(("Comments", "3 comments", "Replies", "Discussion", "Kommentare", "Commentaires", "Comentarios"))
+        lists = "".join(f"<li>{maybe(0.5, '<p>')}{said(3, 40)}</li>" for _ in range(rng.randint(1, 5)))
+        talk = talk or maybe(0.25, f"<div data-other><h2>{heading}</h2><ol>{lists}</ol></div>" if rng.random() < 0.5 else f"<h2 data-other>{heading}</h2><ol data-other>{lists}</ol>")
         foot = rng.choice((f"<footer>&copy; {said(2, 12)}</footer>", f'<div class="footer"><p>&copy; {said(2, 10)}</p><ul>{links(3)}</ul></div>', f"<footer><p>{said(3, 12)}</p></footer>"))
         before, after = (notices, side) if rng.random() < 0.6 else (side, notices)
-        whole = f"{head}{menu}{before}<{box} data-content>{body}{inside}</{tag}>{after}{talk}{foot}"
+        if box:
+            held = f"<{box} data-content>{body}{inside}{maybe(0.3, talk)}</{box.split()[0]}>"
+        else:
+            # Without a container each part of the article is marked itself.
+            held = re.sub(r"<(p|h1|h2|ul|dl|table|blockquote|figure)>", r"<\1 data-content>", body) + inside
+        whole = f"{head}{menu}{before}{held}{after}{talk}{foot}"
         pages.append(f"<html><head><title>{said(2, 6)}</title></head><body>{whole}{maybe(0.9, '</body></html>')}")
     return pages
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -139,11 +140,70 @@ def test_messages_are_sums_over_all_labellings():
     assert np.allclose(marginal, one / total) and np.allclose(both, pair / total)
 
 
-def test_extraction_learns_layouts():
-    model = html_extract.trained([html_extract.labelled(x) for x in html_extract.training_pages()])
-    held = [html_extract.labelled(x) for x in html_extract.training_pages(80, seed=99)]
-    marginal, _ = model.messages(html_extract.Forest.of([p for p, _ in held]))
-    assert ((marginal > 0.5) == np.concatenate([y for _, y in held])).mean() > 0.99
+@pytest.fixture(scope="module")
+def extractor():
+    return html_extract.trained([html_extract.labelled(x) for x in html_extract.training_pages()])
+
+
+def right_nodes(model, pages):
+    """The share of nodes with text of their own that get their label."""
+    known = [html_extract.labelled(x) for x in pages]
+    marginal, _ = model.messages(html_extract.Forest.of([p for p, _ in known]))
+    right = (marginal > 0.5) == np.concatenate([y for _, y in known])
+    return right[np.concatenate([[n.chars > 0 for n in p.nodes] for p, _ in known])].mean()
+
+
+def test_extraction_learns_layouts(extractor):
+    assert right_nodes(extractor, html_extract.training_pages(80, seed=99)) > 0.985
+
+
+@pytest.mark.parametrize(("box", "least"), [("main", 0.92), ("", 0.9)])
+def test_extraction_of_layouts_never_seen(box, least):
+    seen = html_extract.training_pages(boxes=[b for b in html_extract.BOXES if b != box])
+    model = html_extract.trained([html_extract.labelled(x) for x in seen], steps=200)
+    assert right_nodes(model, html_extract.training_pages(80, seed=99, boxes=[box])) > least
+
+
+LINE = "This is a rather long paragraph of running text that tells the reader about the matter at hand in some detail, as articles do."
+SHOWN = [
+    ("<article><p title=it's>first words</p><p>it's second</p></article>", "first words\nit's second"),
+    (f'<body><nav><ul><li><a href=x>m</a></ul></nav><div class="a""><p>{LINE}</p><p>{LINE}</p></div><footer>f</footer>', f"{LINE}\n{LINE}"),
+    (f'<article><p data-a="1>lost {LINE}</p><p>{LINE}</p></article>', f"lost {LINE}\n{LINE}"),
+    (f"<article><p>{LINE}</p><!-- x --!><p>{LINE}</p><!--><p>{LINE}</p></article>", f"{LINE}\n{LINE}\n{LINE}"),
+    ("<body><nav><ul><li><a href=a>one</a><li><a href=b>two</a></ul></nav>" + f"<p>{LINE}</p>" * 4, "\n".join([LINE] * 4)),
+    ("<body><article><dl>" + f"<dt>Term</dt><dd>{LINE}</dd>" * 3 + "</dl></article>", "\n".join(["Term", LINE] * 3)),
+    (f"<article><h1>Head</h1><p>{LINE}</p><figure><img src=x><figcaption>A caption</figcaption></figure><ul><li><a href=x>one link</a></li><li><a href=y>other link</a></li></ul><p>{LINE}</p></article>",
+     f"Head\n{LINE}\nA caption\none link\nother link\n{LINE}"),
+    (f"<article><header><h1>Title here</h1></header><p>{LINE}</p><p>{LINE}</p></article><h2>Comments</h2><ol><li>nice post</li><li>I think so too</li></ol>", f"Title here\n{LINE}\n{LINE}"),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), SHOWN)
+def test_extraction_of_ordinary_pages(extractor, html, want):
+    page = parsed(html)
+    marginal, _ = extractor.messages(html_extract.Forest.of([page]))
+    assert html_extract.text_of(page, marginal >= 0.5) == want
+
+
+def test_attributes_and_declarations():
+    def words(html):
+        return [(n.tag, n.attributes) for n in parsed(html).nodes[1:]]
+
+    assert words("<p a=1 b='2 > 3' c=\"&amp;x\" d e = f G=h'i/>") == [("p", {"a": "1", "b": "2 > 3", "c": "&x", "d": "", "e": "f", "g": "h'i/"})]
+    assert words("<p/a/b=c class=x class=y>") == [("p", {"a": "", "b": "c", "class": "x"})]
+    assert words("<!doctype html><?xml a?></><p =x>") == [("p", {"=x": ""})]
+    assert words("<p a='x") == [] and words("<p") == [] and words("<p a=\"b>c") == [("p", {"a": "b"})]
+
+
+@pytest.mark.parametrize("unit", ["<a b ", "<a b=' ", '<a b="', "<!--", "<div>", "</p><ul>", "<p><ul>", "<b", "<svg>", "a<b> '", "<script>x", "<td><tr>", "< "])
+def test_broken_pages_take_linear_time(unit):
+    def seconds(size):
+        start = time.process_time()
+        parsed(unit * (size // len(unit)))
+        return time.process_time() - start
+
+    seconds(10_000)
+    assert seconds(400_000) < 10 * seconds(100_000) + 0.5
 
 
 def test_extraction_edges(spark):
