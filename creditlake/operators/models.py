@@ -8,8 +8,8 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,15 +91,6 @@ def fold_aucs(oof: DataFrame, target: str = LABEL, score: str = SCORE) -> DataFr
     )
 
 
-def perceptron(train: DataFrame, inputs: int, hidden: tuple[int, ...] = (16, 8), max_iter: int = 40) -> PipelineModel:
-    """A feed-forward network on standardised features."""
-    scaler = StandardScaler(inputCol=FEATURES, outputCol="scaled", withMean=True)
-    net = MultilayerPerceptronClassifier(
-        labelCol=LABEL, featuresCol="scaled", layers=[inputs, *hidden, 2], maxIter=max_iter, seed=42
-    )
-    return Pipeline(stages=[scaler, net]).fit(train)
-
-
 def logistic_on(df: DataFrame, columns: list[str], target: str, reg: float = 0.0) -> PipelineModel:
     """Logistic regression on score columns; the meta-model of a stack, or Platt scaling for one column."""
     assembler = VectorAssembler(inputCols=columns, outputCol="score_vector")

@@ -9,6 +9,7 @@ from creditlake.functions.ordering import durable, scratch_path
 from creditlake.operators import boosting as B
 from creditlake.operators import explain as X
 from creditlake.operators import models as M
+from creditlake.operators import network as P
 from creditlake.operators import sampling as S
 from creditlake.operators import tuning as T
 from creditlake.operators.blocks import attach, bureau_small
@@ -16,6 +17,7 @@ from creditlake.operators.cleaning import fill_by_type
 from creditlake.operators.derive import derive_ext, derive_ratios
 from creditlake.operators.isotonic import isotonic
 from creditlake.operators.profile import target_correlation
+from creditlake.operators.target_stats import target_statistics
 from creditlake.plans.catalogue.registry import query
 from creditlake.plans.catalogue.sqltext import settled, statement
 from creditlake.sources import analog as A
@@ -111,8 +113,14 @@ def _adaptive(spark, folder):
 
 @query("ml_mlp")
 def _mlp(spark, folder):
-    train, test = _parts(spark, folder)
-    return M.scored(M.perceptron(train, len(NAMES)), test, keep=(C, M.LABEL))
+    part = F.when(F.col("part") == "train", 0).when(F.col("part") == "validation", 1).otherwise(2)
+    split = S.three_way_split(_clients(spark, folder), Y, C, 0.2, 0.15, seed=7).withColumn("part", part)
+    wide = target_statistics(durable(S.with_class_weight(split, Y, M.WEIGHT)), CATEGORICAL, Y, C, {"past": F.col("part") == 0})
+    names = [*NUMERIC, *[f"{c}_past" for c in CATEGORICAL]]
+    rows = P.standardised(wide, [C], Y, names, F.col("part"), F.col(M.WEIGHT))
+    done = P.train(rows, len(names))
+    test = P.score(rows.where("part = 2"), done, [C, "y"]).withColumnRenamed("y", M.LABEL)
+    return test.withColumns({"epochs": F.lit(len(done.epochs)), "best_epoch": F.lit(done.best)})
 
 
 _PAIR = {"score_shallow": B.Settings(step=0.2, depth=3), "score_deep": B.Settings(step=0.2, depth=6)}

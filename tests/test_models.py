@@ -207,7 +207,9 @@ def test_queries_of_the_search(spark, key):
 
 
 def test_query_perceptron(spark):
-    scores_are_probabilities(run(spark, "ml_mlp"))
+    rows = run(spark, "ml_mlp")
+    scores_are_probabilities(rows)
+    assert len({(r["epochs"], r["best_epoch"]) for r in rows}) == 1 and rows[0]["best_epoch"] <= rows[0]["epochs"] < 200
 
 
 def test_queries_of_the_stack(spark):
