@@ -156,13 +156,13 @@ def _part(x: Column, low: Column, high: Column) -> Column:
 
 
 def _narrowed(wanted: DataFrame, counted: DataFrame, groups: list[str], keys: list[str], part: str) -> DataFrame:
-    """wanted (groups, place, low, high, before) with the interval of the part that its place falls in; counted has n,
+    """wanted (groups, rows, place, low, high, before) with the interval of the part that its place falls in; counted has n,
     low and high of each part of each interval that keys name."""
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(part))
     cut = counted.withColumn("_to", upto).select(*keys, F.col("n").alias("_n"), "_to", F.col("min").alias("_min"), F.col("max").alias("_max"))
     joined = join_null_safe(wanted, cut, keys)
     inside = joined.where((F.col("place") >= F.col("before") + F.col("_to") - F.col("_n")) & (F.col("place") < F.col("before") + F.col("_to")))
-    return inside.select(*groups, "place", F.col("_min").alias("low"), F.col("_max").alias("high"), (F.col("before") + F.col("_to") - F.col("_n")).alias("before"))
+    return inside.select(*groups, "rows", "place", F.col("_min").alias("low"), F.col("_max").alias("high"), (F.col("before") + F.col("_to") - F.col("_n")).alias("before"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
@@ -177,11 +177,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     groups = [*by, "feature"]
     values = melt(df, columns, by).where(F.col("value").isNotNull()).withColumn("value", F.col("value") + F.lit(0.0))
     found = [F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max")]
-    first = durable(values.groupBy(*groups, _octave(F.col("value")).alias("part")).agg(*found))
-    rows = first.groupBy(*groups).agg(F.sum("n").alias("rows"))
-    places = [F.array(*[f((F.col("rows") - 1).cast("double") * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)])]
-    wanted = rows.select(*groups, F.explode(F.array_distinct(places[0])).alias("place"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("before"))
-    wanted = durable(_narrowed(wanted, first, groups, groups, "part"))
+    counts = values.groupBy(*groups, _octave(F.col("value")).alias("part")).agg(*found)
+    own = Window.partitionBy(*groups)
+    counts = counts.withColumns({"before": F.sum("n").over(own.orderBy("part")) - F.col("n"), "rows": F.sum("n").over(own)})
+    places = [f((F.col("rows") - 1).cast("double") * F.lit(float(p))).cast("long") for p in probs for f in (F.floor, F.ceil)]
+    inside = F.filter(F.array_distinct(F.array(*places)), lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("n")))
+    wanted = durable(counts.select(*groups, "rows", F.explode(inside).alias("place"), F.col("min").alias("low"), F.col("max").alias("high"), "before"))
     while True:
         open_ = wanted.where(~F.col("low").eqNullSafe(F.col("high")))
         left = open_.count()
@@ -195,7 +196,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         narrowed = _narrowed(open_, counted, groups, [*groups, "low"], "part")
         wanted = durable(wanted.where(F.col("low").eqNullSafe(F.col("high"))).unionByName(narrowed))
     at = F.map_from_entries(F.collect_list(F.struct("place", "low")))
-    located = join_null_safe(rows, wanted.groupBy(*groups).agg(at.alias("_at")), groups)
+    located = wanted.groupBy(*groups).agg(F.max("rows").alias("rows"), at.alias("_at"))
     quantiles = []
     for i, p in enumerate(probs):
         place = (F.col("rows") - 1).cast("double") * F.lit(float(p))
