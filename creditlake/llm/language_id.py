@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +13,12 @@ from pyspark.sql import functions as F
 from creditlake.llm.store import tidy
 
 UNKNOWN = "und"
-#: Rows of each language to learn from, code points of each, and words taken of each: bounds of the training sample.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WORDS = 400, 3000, 150
-#: Units of a direction, and bytes of a window; a longer word is labelled in several windows.
-UNITS, WINDOW = 16, 32
-#: Distinct words whose labels a task remembers before it starts anew, and words labelled at once.
-REMEMBERED, BATCH = 200_000, 2048
-
-_LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Bounds of the training sample: rows of each language, spans of each row, and languages (the most frequent ones).
+SAMPLE_ROWS, SAMPLE_SPANS, LANGUAGES = 400, 12, 200
+#: Units of a direction, bytes of a span to learn from, bytes of a window that are labelled, and those read on each side.
+UNITS, LEARN, SPAN, HALO = 12, 48, 224, 16
+#: Windows that are labelled at once.
+BATCH = 512
 
 
 def held_out(id_: Column) -> Column:
@@ -42,7 +39,7 @@ class Network:
         self.w = {k: (rng.normal(size=s) * (0.3 if k[:2] == "in" else 1 / np.sqrt(s[0])) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
 
     def _forward(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """States after each byte of x (words x length, read from the right for d = r), and what the way back needs."""
+        """States after each byte of x (windows x length, read from the right for d = r), and what the way back needs."""
         u, w = self.units, self.w
         h = np.zeros((len(x), u), np.float32)
         states, kept = np.empty((x.shape[1], len(x), u), np.float32), []
@@ -57,15 +54,48 @@ class Network:
             states[t] = h
         return states, kept
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (position, word, language) of words of one length, as rows of bytes."""
-        both = np.concatenate([self._forward(x, d)[0] for d in "fr"], axis=2)
-        said = both @ self.w["out"] + self.w["b"]
+    def _add(self, said: np.ndarray, x: np.ndarray, d: str, margin: int) -> None:
+        """Add to said (position, window, language) what direction d says after each byte of x (position x window), but
+        for margin positions at either end. Each state gives way to the next, as nothing is kept for a way back."""
+        u, own, out = self.units, self.w[f"own_{d}"], self.w["out"]
+        out = out[:u] if d == "f" else out[u:]
+        table, bias = self.w[f"in_{d}"], self.w[f"bias_{d}"]
+        gate, new = -(table[:, : 2 * u] + bias[: 2 * u]), np.ascontiguousarray(table[:, 2 * u :])
+        own_gate, own_new = -own[:, : 2 * u], np.ascontiguousarray(own[:, 2 * u :])
+        h = np.zeros((x.shape[1], u), table.dtype)
+        g, read_gate = (np.empty((x.shape[1], 2 * u), table.dtype) for _ in range(2))
+        n, read_new = (np.empty((x.shape[1], u), table.dtype) for _ in range(2))
+        for t in range(len(x) - margin) if d == "f" else range(len(x) - 1, margin - 1, -1):
+            np.matmul(h, own_gate, out=g)
+            g += np.take(gate, x[t], axis=0, out=read_gate, mode="clip")
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.matmul(h, own_new, out=n)
+            n += bias[2 * u :]
+            n *= g[:, u:]
+            n += np.take(new, x[t], axis=0, out=read_new, mode="clip")
+            np.tanh(n, out=n)
+            h -= n
+            h *= g[:, :u]
+            h += n
+            if margin <= t < len(x) - margin:
+                said[t - margin] += h @ out
+
+    def positions(self, x: np.ndarray, margin: int = 0) -> np.ndarray:
+        """Log probabilities (position, window, language) of windows of one length, as rows of bytes; margin bytes at
+        either end are read only."""
+        x = np.ascontiguousarray(x.T)
+        said = np.empty((len(x) - 2 * margin, x.shape[1], len(self.w["b"])), self.w["b"].dtype)
+        said[:] = self.w["b"]
+        for d in "fr":
+            self._add(said, x, d, margin)
         said -= said.max(axis=2, keepdims=True)
-        return said - np.log(np.exp(said).sum(axis=2, keepdims=True))
+        said -= np.log(np.exp(said).sum(axis=2, keepdims=True))
+        return said
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all positions, each labelled with its word's language y, and its slopes, through time."""
+        """Mean loss over all positions, each labelled with its window's language y, and its slopes, through time."""
         u, w = self.units, self.w
         run = {d: self._forward(x, d) for d in "fr"}
         both = np.concatenate([run[d][0] for d in "fr"], axis=2)
@@ -81,7 +111,7 @@ class Network:
         g["b"] = said.sum(axis=(0, 1))
         back = said @ w["out"].T
         for i, d in enumerate("fr"):
-            later = np.zeros((len(x), u), w["b"].dtype)
+            later, moved = np.zeros((len(x), u), w["b"].dtype), []
             for t, h, z, r, n, inner in reversed(run[d][1]):
                 dh = later + back[t, :, i * u : (i + 1) * u]
                 dn = dh * (1 - z) * (1 - n * n)
@@ -89,36 +119,30 @@ class Network:
                 dr = dn * inner * r * (1 - r)
                 da = np.concatenate([dz, dr, dn], axis=1)
                 db = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(g[f"in_{d}"], x[:, t], da)
+                moved.append(da)
                 g[f"own_{d}"] += h.T @ db
                 g[f"bias_{d}"] += db.sum(axis=0)
                 later = dh * z + db @ w[f"own_{d}"].T
+            read = np.concatenate([x[:, t] for t, *_ in reversed(run[d][1])])
+            order = np.argsort(read, kind="stable")
+            bytes_, first = np.unique(read[order], return_index=True)
+            g[f"in_{d}"][bytes_] = np.add.reduceat(np.concatenate(moved)[order], first, axis=0)
         return loss, g
 
 
-def windows(word: str) -> list[bytes]:
-    """The bytes of a word with a space at either end, in windows of WINDOW at most."""
-    raw = f" {word} ".encode("utf-8", "replace")
-    return [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+def readable(text: str | None) -> bytes:
+    """The bytes that the network reads of a text: all of it, in lower case; none if no character is a letter."""
+    return text.lower().encode("utf-8", "replace") if text and any(map(str.isalpha, text)) else b""
 
 
-def trained(words: list[list[str]], steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 3) -> Network:
-    """A network that tells words[0], words[1], ... apart: Adam over batches of windows of one length, with as many from
-    each language."""
-    net, rng = Network(len(words), seed=seed), np.random.default_rng(seed)
-    by: dict[int, list[list[bytes]]] = {}
-    for k, own in enumerate(words):
-        for x in (x for word in own for x in windows(word)):
-            by.setdefault(len(x), [[] for _ in words])[k].append(x)
-    packs = {n: [np.frombuffer(b"".join(x), np.uint8).reshape(-1, n) for x in own] for n, own in by.items()}
-    sizes = sorted(packs)
-    weight = np.array([n * sum(map(len, packs[n])) for n in sizes], float)
+def trained(spans: list[np.ndarray], steps: int = 300, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
+    """A network that tells spans[0], spans[1], ... (rows of bytes) apart: Adam over batches with as many from each."""
+    net, rng = Network(len(spans), seed=seed), np.random.default_rng(seed)
+    each = max(1, batch // max(1, len(spans)))
+    y = np.repeat(np.arange(len(spans)), each)
     m, v = ({k: np.zeros_like(x) for k, x in net.w.items()} for _ in range(2))
-    for step in range(1, steps + 1 if weight.sum() else 1):
-        n = sizes[rng.choice(len(sizes), p=weight / weight.sum())]
-        have = [(k, own) for k, own in enumerate(packs[n]) if len(own)]
-        x = np.concatenate([own[rng.integers(len(own), size=max(1, batch // len(have)))] for _, own in have])
-        y = np.repeat([k for k, _ in have], max(1, batch // len(have)))
+    for step in range(1, steps + 1 if spans else 1):
+        x = np.concatenate([own[rng.integers(len(own), size=each)] for own in spans])
         _, g = net.gradients(x, y)
         for k in net.w:
             m[k] += 0.1 * (g[k] - m[k])
@@ -127,84 +151,87 @@ def trained(words: list[list[str]], steps: int = 400, batch: int = 256, rate: fl
     return net
 
 
-class Labeller:
-    """Sums of log probabilities over the positions of words; a word that comes again is not labelled again."""
-
-    def __init__(self, net: Network) -> None:
-        self.net, self.place, self.sums = net, {}, [np.zeros((0, len(net.w["b"]) + 1))]
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.place) > REMEMBERED:
-            self.place, self.sums = {}, [np.zeros((0, len(self.net.w["b"]) + 1))]
-            new = sorted(words)
-        else:
-            new = sorted(words.difference(self.place))
-        found = np.zeros((len(new), len(self.net.w["b"]) + 1))
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for i, word in enumerate(new):
-            for x in windows(word) if word.isalpha() or any(map(str.isalpha, word)) else ():  # not of ² or Ⅷ alone
-                by.setdefault(len(x), []).append((i, x))
-        for n, own in by.items():
-            for at in range(0, len(own), BATCH):
-                part = own[at : at + BATCH]
-                said = self.net.positions(np.frombuffer(b"".join(x for _, x in part), np.uint8).reshape(-1, n))
-                np.add.at(found, [i for i, _ in part], np.concatenate([said.sum(axis=0), np.full((len(part), 1), n)], axis=1))
-        start = len(self.place)
-        self.place.update((word, start + i) for i, word in enumerate(new))
-        self.sums.append(found)
-
-    def documents(self, texts: list[str | None]) -> np.ndarray:
-        """Probabilities of the languages for each text: the geometric mean over its positions; none if no letter."""
-        counts = [Counter(_LETTERS((t or "").lower())) for t in texts]
-        self.learn(set().union(*counts))
-        if len(self.sums) > 1:
-            self.sums = [np.concatenate(self.sums)]
-        sizes = [len(c) for c in counts]
-        at = np.fromiter((self.place[w] for c in counts for w in c), np.int64, sum(sizes))
-        n = np.fromiter((k for c in counts for k in c.values()), np.float64, sum(sizes))
-        total = np.zeros((len(texts), self.sums[0].shape[1]))
-        np.add.at(total, np.repeat(np.arange(len(texts)), sizes), self.sums[0][at] * n[:, None])
-        mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-        mean = np.exp(mean - mean.max(axis=1, keepdims=True)) if mean.shape[1] else mean
-        return np.where(total[:, -1:] > 0, mean / np.maximum(mean.sum(axis=1, keepdims=True), 1e-300), 0)
-
-
-def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], Network]:
-    """The languages of docs and a network trained on about `rows` rows of each that are not held out, chosen by a hash
-    of the id; each gives SAMPLE_WORDS of the words in its first SAMPLE_CHARS code points."""
-    open_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in open_.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
-    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)
-    own: dict[str, list[list[str]]] = {lang: [] for lang in sorted(counts)}
-    for r in open_.filter(chosen).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
-        own[r["lang"]].append(_LETTERS(r["text"].lower()))
-    rng = np.random.default_rng(5)
-    words = [[str(w) for x in sorted(own[k]) if x for w in rng.permutation(x)[:SAMPLE_WORDS]] for k in own]
-    kept = [k for k, x in zip(own, words, strict=True) if x]
-    return kept, trained([x for x in words if x])
+def windows(raw: bytes, at: int = 0) -> np.ndarray:
+    """Windows (rows) of SPAN bytes of raw from place `at` on, BATCH at most, each with the HALO bytes before and after
+    it; spaces stand beyond the ends of raw."""
+    many = min(BATCH, -(-(len(raw) - at) // SPAN))
+    size = many * SPAN + 2 * HALO
+    part = b" " * (HALO - min(at, HALO)) + raw[max(0, at - HALO) : at + size - HALO]
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(part.ljust(size), np.uint8), SPAN + 2 * HALO)[::SPAN]
+
+
+def documents(net: Network, texts: list[str | None]) -> np.ndarray:
+    """Probabilities of the languages for each text: the geometric mean over all its bytes; zeros if it has no letter.
+
+    Fewer than 2 * BATCH windows are labelled at once, so what is held does not grow with the length of a text."""
+    raws = [readable(t) for t in texts]
+    total = np.zeros((len(raws), len(net.w["b"])))
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def label() -> None:
+        text = np.repeat([i for i, _, _ in held], [len(x) for _, _, x in held])
+        left = np.concatenate([n - SPAN * np.arange(len(x)) for _, n, x in held])
+        said = net.positions(np.concatenate([x for _, _, x in held]), HALO)
+        said *= (np.arange(SPAN)[:, None] < left)[:, :, None]
+        np.add.at(total, text, said.sum(axis=0, dtype=np.float64))
+        held.clear()
+
+    for i, raw in enumerate(raws):
+        for at in range(0, len(raw), SPAN * BATCH):
+            held.append((i, len(raw) - at, windows(raw, at)))
+            if sum(len(x) for _, _, x in held) >= BATCH:
+                label()
+    if held:
+        label()
+    mean = total / np.maximum([[len(r)] for r in raws], 1)
+    mean = np.exp(mean - mean.max(axis=1, keepdims=True)) if mean.size else mean
+    return np.where([[len(r) > 0] for r in raws], mean / np.maximum(mean.sum(axis=1, keepdims=True), 1e-300), 0)
+
+
+def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, spans: int = SAMPLE_SPANS, languages: int = LANGUAGES) -> tuple[list[str], Network]:
+    """The languages of docs (the most frequent `languages` of them) and a network trained on a sample of the rows that
+    are not held out: about `rows` rows of each, chosen by a hash of the id, and of each `spans` spans of LEARN bytes at
+    places drawn over its whole text. Spans are cut in the tasks; only they reach the driver."""
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    open_ = known.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most = open_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(float(rows)) / F.col("n") * (1 << 30)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text, seed in zip(*batch.columns, strict=True):
+                raw = readable(text.as_py())
+                if raw:
+                    rng = np.random.default_rng([zlib.crc32(raw), seed.as_py()])
+                    raw = b" " * HALO + raw + b" " * max(HALO, LEARN - HALO - len(raw))
+                    at = np.sort(rng.integers(0, len(raw) - LEARN + 1, size=spans))
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang.as_py()] * spans, pa.string()), "span": pa.array([raw[i : i + LEARN] for i in at], pa.binary())})
+
+    sample = open_.join(F.broadcast(most), "lang").filter(chosen).select("lang", "text", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1 << 30))).mapInArrow(tidy(cut), "lang string, span binary")
+    own: dict[str, list[bytes]] = {}
+    for r in sample.collect():
+        own.setdefault(r["lang"], []).append(bytes(r["span"]))
+    return sorted(own), trained([np.frombuffer(b"".join(sorted(own[k])), np.uint8).reshape(-1, LEARN) for k in sorted(own)])
 
 
 def identified(docs: DataFrame, languages: list[str], net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: id_col, held_out, lang_pred, score.
 
-    Every byte of every word of letters, in lower case, is labelled from both sides; a document's probability of a
-    language is the geometric mean over all its bytes, and score is that of lang_pred, the most probable. Null, empty
-    and letterless texts, and all texts if no language was learned, are UNKNOWN with score 0. Only the text is read for
-    a prediction. No row moves; rows that repeat each have their result."""
+    Every byte of a text, in lower case, is labelled from both sides, in overlapping windows; a document's probability of
+    a language is the geometric mean over all its bytes, and score is that of lang_pred, the most probable (of equally
+    probable ones the first by code point). Null, empty and letterless texts, and all texts if no language was learned,
+    are UNKNOWN with score 0. Texts of any length are read whole, a bounded number of windows at a time. Only the text is
+    read for a prediction. No row moves; rows that repeat each have their result."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, net.w, net.units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights, units = shared.value
         own = Network(len(names), units)
         own.w = weights
-        labeller = Labeller(own)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                p = labeller.documents(part.column(2).to_pylist()) if names else np.zeros((len(part), 1))
+                p = documents(own, part.column(2).to_pylist()) if names else np.zeros((len(part), 1))
                 best, score = p.argmax(axis=1), p.max(axis=1)
                 said = [names[i] if s > 0 else UNKNOWN for i, s in zip(best.tolist(), score.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(said, pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
@@ -222,12 +249,11 @@ def recognised(docs: DataFrame, languages: list[str], net: Network, text_col: st
         names, weights, units = shared.value
         own = Network(len(names), units)
         own.w = weights
-        labeller = Labeller(own)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                p = labeller.documents(part.column(at).to_pylist()) if names else np.zeros((len(part), 1))
+                p = documents(own, part.column(at).to_pylist()) if names else np.zeros((len(part), 1))
                 yield part.filter(pa.array(p.max(axis=1) > 0))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -312,9 +312,49 @@ def test_language_edges(spark, odd):
     assert none[0] == [] and {r.lang_pred for r in language_id.identified(odd, *none).collect()} == {"und"}
 
 
-def test_windows_label_every_byte():
-    word = "äx" * 50
-    assert b"".join(language_id.windows(word)) == f" {word} ".encode() and max(map(len, language_id.windows(word))) <= language_id.WINDOW
+def _plain_states(w, units, window, d):
+    """The recurrence, one byte and one unit vector at a time."""
+    h, states = np.zeros(units), {}
+    for t in range(len(window)) if d == "f" else reversed(range(len(window))):
+        a, b = w[f"in_{d}"][window[t]], h @ w[f"own_{d}"] + w[f"bias_{d}"]
+        z, r = (1 / (1 + np.exp(-(a[k] + b[k]))) for k in (slice(0, units), slice(units, 2 * units)))
+        n = np.tanh(a[2 * units :] + r * b[2 * units :])
+        h = states[t] = (1 - z) * n + z * h
+    return states
+
+
+def test_documents_pool_every_byte(monkeypatch):
+    monkeypatch.setattr(language_id, "BATCH", 3)
+    net = language_id.Network(3, 5)
+    net.w = {k: v.astype(float) for k, v in net.w.items()}
+    rng = random.Random(4)
+    texts = ["a", "x" * language_id.SPAN, "y" * (language_id.SPAN + 1), None, "", "12 ²", "日本語の文" * 300, "Ä" + "".join(rng.choices("abc é漢\n", k=5000))]
+    got = language_id.documents(net, texts)
+    for text, p in zip(texts, got, strict=True):
+        raw = (text or "").lower().encode()
+        if not any(map(str.isalpha, text or "")):
+            assert not p.any()
+            continue
+        total, seen = np.zeros(3), 0
+        for at in range(0, len(raw), language_id.SPAN):
+            window = [raw[i] if 0 <= i < len(raw) else 32 for i in range(at - language_id.HALO, at + language_id.SPAN + language_id.HALO)]
+            states = {d: _plain_states(net.w, 5, window, d) for d in "fr"}
+            for i in range(language_id.HALO, language_id.HALO + min(language_id.SPAN, len(raw) - at)):
+                said = np.concatenate([states["f"][i], states["r"][i]]) @ net.w["out"] + net.w["b"]
+                total, seen = total + said - np.log(np.exp(said).sum()), seen + 1
+        assert seen == len(raw)
+        mean = np.exp(total / seen)
+        assert np.allclose(p, mean / mean.sum(), rtol=1e-9)
+
+
+def test_language_sample_reads_whole_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, "xx " * 1500 + " ".join(rng.choices(["kilo", "mega"] if i % 2 else ["nova", "luna"], k=4000)), "a" if i % 2 else "b") for i in range(60)]
+    known = language_id.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    ends = spark.createDataFrame([(1, "kilo kilo kilo"), (2, "nova nova nova")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.identified(ends, *known).orderBy("doc_id").collect()] == ["a", "b"]
+    few = language_id.learned(spark.createDataFrame(rows[:41], "doc_id long, text string, lang string"), languages=1)
+    assert len(few[0]) == 1
 
 
 def test_chat_fold_and_round_trip(spark):
