@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import settle, settle_all
+from creditlake.functions.ordering import scratch_path
 from creditlake.operators import history as H
 from creditlake.operators import scoring as R
 from creditlake.operators.derive import derive_ratios
@@ -13,6 +14,7 @@ from creditlake.operators.temporal import recent_payments_first
 from creditlake.plans.catalogue.registry import query
 from creditlake.plans.catalogue.sqltext import settled, statement
 from creditlake.sources import analog as A
+from creditlake.streaming import registrations as S
 
 C = "SK_ID_CURR"
 KEY = [C]
@@ -139,13 +141,15 @@ def _payoff(spark, folder):
     return A.application(spark, folder).select(C, R.payoff("AMT_CREDIT", "AMT_ANNUITY").alias("p")).select(C, "p.*")
 
 
-@query("scr_register", """
+_REGISTER = """
 WITH firsts AS (SELECT o_custkey, MIN(o_orderkey) AS f FROM orders GROUP BY o_custkey),
 numbered AS (SELECT *, (SELECT MAX(c_custkey) FROM customer) + ROW_NUMBER() OVER (ORDER BY f) AS sk FROM firsts)
 SELECT o_orderkey AS registration_id, sk AS "SK_ID_CURR", (o_orderkey = f)::INT AS is_new
-FROM orders JOIN numbered USING (o_custkey)""")
-def _register(spark, folder):
-    registrations = A.table(spark, folder, "orders").selectExpr(
+FROM orders JOIN numbered USING (o_custkey)"""
+
+
+def _registrations(spark, folder):
+    return A.table(spark, folder, "orders").selectExpr(
         "o_orderkey AS registration_id",
         "concat(' Client ', o_custkey) AS full_name",
         "CASE WHEN o_orderkey % 2 = 0 THEN concat(' id', o_custkey) ELSE concat('ID', o_custkey, ' ') END AS dni",
@@ -153,7 +157,26 @@ def _register(spark, folder):
         "ELSE concat(' c', o_custkey, '@mail.com') END AS email",
         "concat('+34 ', o_custkey) AS phone",
     )
-    return R.register(registrations, A.application(spark, folder))
+
+
+@query("scr_register", _REGISTER)
+def _register(spark, folder):
+    return R.register(_registrations(spark, folder), A.application(spark, folder))
+
+
+@query("stream_register", _REGISTER)
+def _register_stream(spark, folder):
+    """All registrations in three deliveries, cut at even ranges of the number; the query starts anew for each."""
+    registrations = _registrations(spark, folder)
+    ends = registrations.agg(F.min("registration_id").alias("a"), F.max("registration_id").alias("b")).first()
+    inbox, numbered, progress = (scratch_path(spark, name) for name in ("inbox", "numbered", "progress"))
+    share = ((F.col("registration_id") - F.lit(ends["a"])) * 3 / F.lit((ends["b"] or 0) - (ends["a"] or 0) + 1)).cast("int")
+    clients = A.application(spark, folder).select(C)
+    for part in range(3):
+        registrations.where(share == part).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(S.REGISTRATIONS).parquet(inbox)
+        S.register_stream(stream, clients, numbered, progress).awaitTermination()
+    return S.read_numbered(clients, numbered).where(F.col("batch") > S.BEFORE).select("registration_id", C, "is_new")
 
 
 @query("scr_response", statement("""

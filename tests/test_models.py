@@ -1,6 +1,7 @@
 """Orders, samples, learners and explanations: properties of operators and of the queries that have no SQL."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -18,6 +19,7 @@ from creditlake.operators import tuning as T
 from creditlake.operators.profile import _two_sided
 from creditlake.operators.smote import nearest, nearest_hashed, smote
 from creditlake.sources import schemas
+from creditlake.streaming import registrations as S
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -119,6 +121,33 @@ def test_earlier_people_are_found(spark):
     assert got == {1: (50, 0), 2: (7, 0), 3: (51, 1), 4: (51, 0), 5: (52, 1), 6: (53, 1)}
 
 
+@pytest.mark.parametrize("cuts", [[], [1, 17, 18], [25]])
+def test_registrations_in_any_batches(spark, tmp_path, cuts):
+    rng = random.Random(9)
+    rows = [(i, "n", rng.choice(["", f"D{rng.randrange(14)}", f" d{rng.randrange(14)} "]), rng.choice(["", f"E{rng.randrange(14)}@x.com"]), "1") for i in range(40)]
+    schema = schemas.SCHEMAS["registration"]
+    clients = spark.createDataFrame([(20,)], "SK_ID_CURR long")
+    earlier = spark.createDataFrame([(7, "E1@x.com", ""), (9, "e1@x.com", "d3"), (50, "", "D2 ")], "SK_ID_CURR long, email string, dni string")
+    want, owner, top = {}, {"E": {"e1@x.com": 7}, "D": {"d3": 9, "d2": 50}}, 50
+    for i, _, dni, email, _ in rows:
+        e, d = email.strip().lower(), dni.strip().lower()
+        found = owner["E"].get(e) if e and e in owner["E"] else owner["D"].get(d) if d else None
+        if not found:
+            found = top = top + 1
+            owner["E"] |= {e: found} if e else {}
+            owner["D"] |= {d: found} if d else {}
+            want[i] = (found, 1)
+        else:
+            want[i] = (found, 0)
+    assert {r[0]: (r[1], r[2]) for r in R.register(spark.createDataFrame(rows, schema), clients, earlier).collect()} == want
+    inbox, out, progress = (str(tmp_path / name) for name in ("inbox", "out", "progress"))
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        spark.createDataFrame(rows[lo:hi], schema).write.mode("append").parquet(inbox)
+        S.register_stream(spark.readStream.schema(schema).parquet(inbox), clients, out, progress, earlier).awaitTermination()
+    got = S.read_numbered(clients, out).where(F.col("batch") > S.BEFORE).collect()
+    assert len(got) == len(rows) and {r["registration_id"]: (r["SK_ID_CURR"], r["is_new"]) for r in got} == want
+
+
 def test_student_tails():
     for t, dof, want in ((2.0, 10, 0.0733880), (1.0, 1, 0.5), (12.706205, 1, 0.05), (1.959964, 1e7, 0.05), (0.0, 5, 1.0)):
         assert _two_sided(t, dof) == pytest.approx(want, rel=2e-4)
