@@ -177,14 +177,17 @@ def interpolate(a: Column, b: Column, gap: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + (y - x) * gap)
 
 
-def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0, hashed: bool = False) -> DataFrame:
+def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0, hashed: bool = False, near: DataFrame | None = None) -> DataFrame:
     """``wanted`` synthetic rows (a column that is constant over the rows) between minority rows and their neighbours.
 
     Row number s of the synthetic rows starts from base row s mod n in seeded order and takes a seeded neighbour and
-    gap, so each base is used about equally often. With ``hashed`` neighbours come from ``nearest_hashed``; a base then
-    draws among those that it has, and one that has none gives no rows.
+    gap, so each base is used about equally often. With ``hashed`` neighbours come from ``nearest_hashed``, and ``near``
+    gives them (id, place, neighbour), as the edges of a ``neighbour_graph``; a base then draws among those that it has,
+    and one that has none gives no rows.
     """
-    near = nearest_hashed(minority, k, seed=seed) if hashed else nearest(minority, k)
+    found = near is not None or hashed
+    if near is None:
+        near = nearest_hashed(minority, k, seed=seed) if hashed else nearest(minority, k)
     near = near.select(F.col("id").alias("base"), F.col("place"), F.col("neighbour"))
     ranked = rank_in_class(minority.select("id", "vec"), [], "id", seed)
     repeats = F.floor((wanted - F.col("rank")) / F.col("class_rows"))
@@ -197,7 +200,7 @@ def smote(minority: DataFrame, wanted: Column, k: int = 5, seed: int = 0, hashed
     )
     number = F.col("rank") - 1 + F.col("round") * F.col("class_rows")
     options = F.least(F.lit(k), F.col("class_rows") - 1)
-    if hashed:
+    if found:
         have = near.groupBy("base").agg(F.max("place").alias("have"))
         drawn, options = drawn.join(have, "base"), F.col("have")
     planned = drawn.select(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creditlake.functions.expr import settle, settle_all
+from creditlake.functions.expr import one_row, settle, settle_all
 from creditlake.operators import blend as L
 from creditlake.operators import encode as N
 from creditlake.operators import evaluate as E
 from creditlake.operators import sampling as S
 from creditlake.operators.cleaning import fill_by_type
+from creditlake.operators.neighbour_graph import graph_recall, neighbour_graph
 from creditlake.operators.smote import smote_then_undersample
 from creditlake.operators.neighbour_information import neighbour_information
 from creditlake.operators.target_stats import target_statistic
@@ -105,6 +106,16 @@ def _smote(spark, folder):
     return out.select("kind", "id", "base", "neighbour", settle(total).alias("total"))
 
 
+@query("smp_neighbour_graph")
+def _neighbour_graph(spark, folder):
+    """The five nearest found of every vector, with the recall of 200 of them against all and the pairs measured."""
+    usable = "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+    points = A.table(spark, folder, "embeddings").where(usable).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    graph = neighbour_graph(points, 5)
+    recall = one_row(graph_recall(points, graph.edges, 5)).getField("recall")
+    return graph.edges.select("id", "place", "neighbour", settle(F.col("distance")).alias("distance"), recall.alias("recall"), F.lit(graph.measured).cast("long").alias("measured"))
+
+
 @query("smp_class_weight", statement(f"""
 SELECT TARGET, COUNT(*) AS "rows", {settled("(SELECT COUNT(*) FROM v_application) / (2.0::DOUBLE * COUNT(*))")} AS weight,
  {settled("(SELECT COUNT(*) FILTER (WHERE TARGET = 0) * 1.0::DOUBLE / COUNT(*) FILTER (WHERE TARGET = 1) FROM v_application)")}

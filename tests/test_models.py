@@ -16,6 +16,7 @@ from creditlake.operators import history as H
 from creditlake.operators import models as M
 from creditlake.operators import scoring as R
 from creditlake.operators import tuning as T
+from creditlake.operators.neighbour_graph import graph_recall, neighbour_graph
 from creditlake.operators.profile import _two_sided
 from creditlake.operators.smote import nearest, nearest_hashed, smote
 from creditlake.sources import schemas
@@ -72,6 +73,28 @@ def test_hashed_neighbours_of_wide_clusters(spark):
     assert made.count() == 300 and made.where("base = neighbour").count() == 0
 
 
+def test_neighbour_graph_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(900, 8))
+    pts[:300] = pts[0]  # a third are copies
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, vec array<double>")
+    graph = neighbour_graph(df, 5)
+    got = graph.edges.collect()
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    last = np.sort(d, axis=1)[:, 4]
+    assert all(r["id"] != r["neighbour"] and abs(r["distance"] - d[r["id"], r["neighbour"]]) < 1e-9 for r in got)
+    assert len({(r["id"], r["neighbour"]) for r in got}) == len({(r["id"], r["place"]) for r in got}) == len(got) == 4500
+    hits = sum(r["distance"] <= last[r["id"]] * (1 + 1e-9) for r in got) / 4500
+    assert hits >= 0.9 and 0 < graph.measured and 1 < graph.rounds < 30
+    full = graph_recall(df, graph.edges, 5, queries=900).first()
+    assert full["asked"] == 900 and full["recall"] == pytest.approx(hits)
+    made = smote(df, F.lit(1200), 5, 3, near=graph.edges)
+    assert made.count() == 1200 and made.where("base = neighbour").count() == 0
+    few = neighbour_graph(df.where("id IN (0, 400, 500)"), 5).edges
+    assert sorted((r["id"], r["place"]) for r in few.collect()) == [(i, k) for i in (0, 400, 500) for k in (1, 2)]
+
+
 @pytest.fixture(scope="module")
 def wide(spark):
     df = spark.range(1200).select("id", (F.col("id") % 58).cast("string").alias("kind"), F.rand(1).alias("a"), F.rand(2).alias("b"))
