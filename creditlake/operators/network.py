@@ -3,23 +3,27 @@
 A hidden layer is a linear map, normalised by moments, scaled, passed through a leaky rectifier, and thinned by dropout.
 The moments are running ones, of earlier batches, and constants of a step; a step's own moments are summed along with its
 gradients. So the loss is a plain sum over rows, its gradient the sum of the tasks' gradients, and the result the same
-however rows are dealt. Rows stay in their tasks; a step moves arrays of the size of the network."""
+however rows are dealt. Rows are written once as blocks of numbers for each step and stay in their tasks; a step moves
+arrays of the size of the network."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditlake.functions.expr import dbl, one_row
 from creditlake.functions.ordering import mix, scratch_path
-from creditlake.functions.sums import partition_count, summed
+from creditlake.functions.sums import finished_pieces
 
 LEAK, LEAST_VARIANCE = 0.1, 1e-5
+#: Rows that go through the network together: their layers should fit a core's cache.
+ROWS_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
@@ -64,7 +68,7 @@ class Network:
             z = a @ w
             normal = (z - mean) / np.sqrt(variance + LEAST_VARIANCE)
             u = normal * scale + shift
-            out = np.where(u > 0, u, LEAK * u)
+            out = np.maximum(u, LEAK * u)
             seen.append((a, z, normal, u))
             a = out * masks[i] if masks else out
         seen.append((a,))
@@ -100,9 +104,11 @@ class Network:
 def kept(key: np.ndarray, units: int, seed: int, dropped: float) -> np.ndarray:
     """1 / (1 - dropped) or 0 for each row and unit."""
     z = key.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(units, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed * 0xA0761D6478BD642F % (1 << 64)))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) >= dropped * 2.0**53) / (1 - dropped)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)) >= np.uint64(np.ceil(dropped * 2.0**53))) / (1 - dropped)
 
 
 @dataclass
@@ -136,9 +142,44 @@ def standardised(df: DataFrame, ids: list[str], target: str, names: list[str], p
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    key, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "y", "w"))
-    return batch.column("x").flatten().to_numpy().reshape(len(batch), -1), y, w, key
+def _blocks(rows: DataFrame, inputs: int, learns: int, held: int, batches: int) -> list[RDD]:
+    """The labelled rows of each batch of the part `learns`, then those of the part `held`, written as blocks of numbers
+    (x, y, w, key) and read in one task for each slot at most."""
+    spark = rows.sparkSession
+    step = F.when(F.col("part") == learns, F.col("batch")).when(F.col("part") == held, F.lit(batches))
+    known = rows.where(F.col("y").isNotNull() & ~F.isnan("y")).select(step.alias("step"), "x", "y", "w", F.coalesce("key", F.lit(0)).alias("key")).where("step is not null")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            if not len(batch):
+                continue
+            of, y, w, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("step", "y", "w", "key"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), inputs)
+            for k in np.unique(of):
+                own = of == k
+                blobs = [a[own].astype(kind).tobytes() for a, kind in ((x, float), (y, float), (w, float), (key, np.int64))]
+                yield pa.RecordBatch.from_arrays([*[pa.array([b], pa.binary()) for b in blobs], pa.array([k], pa.int32())], names=["x", "y", "w", "key", "step"])
+
+    path, schema = scratch_path(spark, "blocks"), "x binary, y binary, w binary, key binary, step int"
+    known.mapInArrow(run, schema).write.partitionBy("step").parquet(path)
+    read, slots = spark.read.schema(schema).parquet(path), spark.sparkContext.defaultParallelism
+    out = [read.where(F.col("step") == k).select("x", "y", "w", "key").rdd for k in range(batches + 1)]
+    return [b.coalesce(slots) if b.getNumPartitions() > slots else b for b in out]
+
+
+def _summed(blocks: RDD, inputs: int, size: int, value: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of value(x, y, w, key) over runs of ROWS_AT_ONCE rows of blocks."""
+
+    def fold(found: Iterator[tuple], group: int) -> Iterator[tuple[int, np.ndarray]]:
+        sums = np.zeros(size)
+        for block in found:
+            y, w, key = (np.frombuffer(a, kind) for a, kind in zip(block[1:], (float, float, np.int64), strict=True))
+            x = np.frombuffer(block[0]).reshape(len(y), inputs)
+            for lo in range(0, len(y), ROWS_AT_ONCE):
+                sums += value(*[a[lo : lo + ROWS_AT_ONCE] for a in (x, y, w, key)])
+        yield 0, sums
+
+    return finished_pieces(blocks, 1, fold, lambda piece, sums: sums, 1, size * 8).get(0, np.zeros(size))
 
 
 def train(rows: DataFrame, inputs: int, t: Training = Training(), learns: int = 0, held: int = 1) -> Trained:
@@ -147,10 +188,7 @@ def train(rows: DataFrame, inputs: int, t: Training = Training(), learns: int =
     Rows without a label take no part. A step of Adam is one job over its batch, an epoch ends with one over the held
     rows. Without held rows, or with none that ever improves, training ends by patience all the same."""
     net = Network.new(inputs, t)
-    known = rows.where(F.col("y").isNotNull() & ~F.isnan("y"))
-    mine = [known.where((F.col("part") == learns) & (F.col("batch") == b)).select("x", "y", "w", "key") for b in range(t.batches)]
-    other = known.where(F.col("part") == held).select("x", "y", "w", "key")
-    parts, other_parts = [partition_count(b) for b in mine], partition_count(other)
+    *mine, other = _blocks(rows, inputs, learns, held, t.batches)
     sizes = [np.prod(a.shape).astype(int) for a in net.weights] + [len(m) for m, _ in net.moments for _ in range(2)]
     ends = np.cumsum(sizes)
     first, second = ([np.zeros_like(a) for a in net.weights] for _ in range(2))
@@ -160,16 +198,11 @@ def train(rows: DataFrame, inputs: int, t: Training = Training(), learns: int =
         for b in range(t.batches):
             count += 1
 
-            def fold(batches: Iterator[pa.RecordBatch], net: Network = net, seed: int = t.seed * 1_000_003 + count) -> np.ndarray:
-                sums = np.zeros(3 + ends[-1])
-                for batch in batches:
-                    if len(batch):
-                        x, y, w, key = _numbers(batch)
-                        loss, slopes, moments = net.slopes(x, y, w, net.masks(key, seed))
-                        sums += np.concatenate([[loss, w.sum(), len(y)], *[a.ravel() for a in (*slopes, *moments)]])
-                return sums
+            def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, key: np.ndarray, net: Network = net, seed: int = t.seed * 1_000_003 + count) -> np.ndarray:
+                loss, slopes, moments = net.slopes(x, y, w, net.masks(key, seed))
+                return np.concatenate([[loss, w.sum(), len(y)], *[a.ravel() for a in (*slopes, *moments)]])
 
-            sums = summed(mine[b], fold, (3 + int(ends[-1]),), parts[b])
+            sums = _summed(mine[b], inputs, 3 + int(ends[-1]), slopes)
             if not sums[1]:
                 continue
             total, weight = total + sums[0], weight + sums[1]
@@ -188,15 +221,10 @@ def train(rows: DataFrame, inputs: int, t: Training = Training(), learns: int =
                 moments.append((mean + share * (own - mean), variance + share * (spread - variance)))
             net = Network(weights, moments, net.dropout)
 
-        def measure(batches: Iterator[pa.RecordBatch], net: Network = net) -> np.ndarray:
-            sums = np.zeros(2)
-            for batch in batches:
-                if len(batch):
-                    x, y, w, _ = _numbers(batch)
-                    sums += (net.loss(x, y, w), w.sum())
-            return sums
+        def measure(x: np.ndarray, y: np.ndarray, w: np.ndarray, key: np.ndarray, net: Network = net) -> np.ndarray:
+            return np.array([net.loss(x, y, w), w.sum()])
 
-        sums = summed(other, measure, (2,), other_parts)
+        sums = _summed(other, inputs, 2, measure)
         now = sums[0] / sums[1] if sums[1] else np.inf
         out.epochs.append((epoch, total / weight if weight else np.nan, float(now), step))
         if now < lowest:
