@@ -172,6 +172,9 @@ def installments_temporal(payments: DataFrame) -> DataFrame:
     late, early_by = is_late(), due - F.col("DAYS_ENTRY_PAYMENT")
     year = due >= -365
     placed = count_when(due <= PERIODS[-1][2]) > 0
+    # 1, in words that read the instalment's number, as the order of the last three does: branches that read the same
+    # columns share one exchange of the payments.
+    one = F.coalesce(F.col("NUM_INSTALMENT_NUMBER").cast("long") * 0, F.lit(0)) + 1
     main = payments.groupBy(CLIENT).agg(
         *[
             F.when(placed, F.coalesce(avg_when(in_period("DAYS_INSTALMENT", low, high), late), F.lit(0.0))).alias(
@@ -189,7 +192,7 @@ def installments_temporal(payments: DataFrame) -> DataFrame:
         share(F.col("AMT_PAYMENT") > F.col("AMT_INSTALMENT")).alias("inst_overpayment_ratio"),
         volatility("AMT_PAYMENT").alias("inst_payment_volatility"),
         share(early_by > 30).alias("inst_severe_late_ratio"),
-        count_when(early_by > 30).alias("inst_severe_late_count"),
+        F.coalesce(F.sum(F.when(early_by > 30, one)), F.lit(0)).alias("inst_severe_late_count"),
         trend("DAYS_INSTALMENT", late, 365).alias("inst_payment_improvement"),
         consistency(early_by).alias("inst_payment_consistency"),
         spread(early_by).alias("inst_max_payment_gap"),
