@@ -9,6 +9,7 @@ size, so a cell holding a third of all points is many tasks. The result is exact
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from creditlake.functions.ordering import MIX_BITS, durable, mix, rank_in_class
 
 MOST_PIVOTS = 4096
 BLOCK_ROWS = 4096
+#: Distances that a task holds at once, and routed rows that it hands on at once.
+HELD, HANDED_ON = 1 << 20, 4096
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -39,13 +42,37 @@ def _cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def assign(batches):
         for pdf in batches:
-            d = _distances(_matrix(pdf["vec"]), pivots)
-            near = d.argmin(axis=1)
-            yield pdf.assign(cell=near, reach=d[np.arange(len(near)), near])
+            step = max(1, HELD // max(1, len(pivots)))
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
+                d = _distances(_matrix(part["vec"]), pivots)
+                near = d.argmin(axis=1)
+                yield part.assign(cell=near, reach=d[np.arange(len(near)), near])
 
     return points.mapInPandas(assign, "id long, vec array<double>, cell int, reach double")
 
 
+def _routed(pdf: pd.DataFrame, pivot: np.ndarray, size: np.ndarray, radius: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """(id, vec, cell) for each cell that can hold one of a row's k nearest. Where nothing is excluded that is every cell
+    for every row, so rows are handed on a few thousand at a time."""
+    step = max(1, HELD // max(1, len(pivot)))
+    for start in range(0, len(pdf), step):
+        part = pdf.iloc[start : start + step]
+        ids, vec = part["id"].to_numpy(), part["vec"].to_numpy()
+        d = _distances(_matrix(part["vec"]), pivot)
+        upper = np.where(size > 0, d + radius, np.inf)
+        order = upper.argsort(axis=1)
+        enough = size[order].cumsum(axis=1) >= k + 1
+        at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(pivot) - 1)
+        bound = upper[np.arange(len(d)), order[np.arange(len(d)), at]]
+        # A small slack keeps rounding from excluding a cell that touches the bound.
+        inside = (size > 0) & (d - radius <= bound[:, None] * (1 + 1e-9) + 1e-12)
+        who, cell = np.nonzero(inside)
+        for lo in range(0, len(who), HANDED_ON):
+            own = who[lo : lo + HANDED_ON]
+            yield pd.DataFrame({"id": ids[own], "vec": vec[own], "cell": cell[lo : lo + HANDED_ON].astype("int32")})
+
+
 def nearest(points: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, place 1..k, neighbour, distance): the k nearest other points of every point, ties by lower id.
 
@@ -67,18 +94,7 @@ def nearest(points: DataFrame, k: int, pivots: int | None = None, block_rows: in
 
     def route(batches):
         for pdf in batches:
-            d = _distances(_matrix(pdf["vec"]), pivot)
-            upper = np.where(size > 0, d + radius, np.inf)
-            order = upper.argsort(axis=1)
-            enough = size[order].cumsum(axis=1) >= k + 1
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(pivot) - 1)
-            bound = upper[np.arange(len(d)), order[np.arange(len(d)), at]]
-            # A small slack keeps rounding from excluding a cell that touches the bound.
-            inside = (size > 0) & (d - radius <= bound[:, None] * (1 + 1e-9) + 1e-12)
-            who, cell = np.nonzero(inside)
-            yield pd.DataFrame(
-                {"id": pdf["id"].to_numpy()[who], "vec": pdf["vec"].to_numpy()[who], "cell": cell.astype("int32")}
-            )
+            yield from _routed(pdf, pivot, size, radius, k)
 
     routed = durable(placed.select("id", "vec").mapInPandas(route, "id long, vec array<double>, cell int"))
     asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
