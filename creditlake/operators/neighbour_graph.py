@@ -8,6 +8,7 @@ the square of a list's length, so longer lists pay only where rows are many time
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,8 @@ from creditlake.operators.smote import _distances, _matrix, nearest_hashed
 
 #: Points on a list, share of all list places below which changes end the rounds, and rounds at most.
 WIDTH, STILL, MOST_ROUNDS = 32, 0.002, 30
-#: Parts in which the offers to one point are cut down before they are brought together.
-PARTS = 16
+#: Parts of the pivots at least, and numbers in the vectors that one part can need at most.
+LEAST_PARTS, PART_VALUES = 6, 1 << 26
 
 
 @dataclass
@@ -39,76 +40,146 @@ def _best(edges: DataFrame, width: int, by: list[Column]) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(w)).where(F.col("place") <= width)
 
 
-def _kept(edges: DataFrame, width: int, seed: int) -> DataFrame:
-    """The width nearest of each id, cut down part by part first, as a point that is near to very many has many offers.
-    An edge that was known (fresh = 0) stays known."""
-    distinct = edges.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
-    parted = _best(distinct, width, [F.col("id"), F.pmod(mix("neighbour", seed), F.lit(PARTS))]).drop("place")
-    return _best(parted, width, [F.col("id")])
+def _kept(edges: DataFrame, width: int) -> DataFrame:
+    """The width nearest of each id; the offers to it are exchanged once. An edge that was known (fresh = 0) stays known."""
+    distinct = edges.repartition("id").groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
+    return _best(distinct, width, [F.col("id")])
 
 
-def _members(edges: DataFrame, width: int, seed: int) -> DataFrame:
-    """(pivot, id, fresh): who meets at each pivot. Its own list, and up to width of those that name it: one for each of
-    width slots of a hash, chosen by partial aggregates, so a point that all lists name gathers no more."""
+def _members(edges: DataFrame, width: int, seed: int, parts: int) -> DataFrame:
+    """(part, pivot, fresh, old): the ids that meet at each pivot. Its own list, and up to width of those that name it: one
+    for each of width slots of a hash, so a point that all lists name gathers no more. Where none is fresh none meet."""
     slot, order = F.pmod(mix("id", seed), F.lit(width)), mix("id", seed + 1)
-    named = edges.groupBy(F.col("neighbour").alias("pivot"), slot.alias("slot")).agg(F.min(F.struct((1 - F.col("fresh")).alias("old"), order.alias("o"), "id")).alias("x"))
-    both = edges.select(F.col("id").alias("pivot"), F.col("neighbour").alias("id"), "fresh").unionByName(
-        named.select("pivot", F.col("x.id").alias("id"), (1 - F.col("x.old")).alias("fresh"))
-    )
-    return both.groupBy("pivot", "id").agg(F.max("fresh").alias("fresh"))
-
-
-def _meet(most: int):
-    """Pairs at one pivot of which one is fresh: each member is told its `most` nearest that beat the last of its list."""
+    old = 1 - F.col("fresh")
+    own = edges.select(F.col("id").alias("pivot"), F.col("neighbour").alias("id"), old.alias("old"), F.col("neighbour").alias("own"))
+    named = edges.select(F.col("neighbour").alias("pivot"), "id", old.alias("old"), F.lit(None).cast("long").alias("own"))
+    both = own.unionByName(named).withColumn("part", F.pmod(F.xxhash64("pivot"), F.lit(parts)).cast("int")).repartitionById(parts, "part")
+    slots = both.withColumns({"slot": F.when(F.col("own").isNull(), slot), "order": F.when(F.col("own").isNull(), order)})
+    chosen = slots.groupBy("part", "pivot", "own", "slot").agg(F.min(F.struct("old", "order", "id")).alias("x")).select("part", "pivot", "x.id", "x.old")
+    once = chosen.groupBy("part", "pivot", "id").agg(F.min("old").alias("old"))
+    ids = [F.collect_list(F.when(F.col("old") == o, F.col("id"))).alias(name) for o, name in enumerate(("fresh", "old"))]
+    return once.groupBy("part", "pivot").agg(*ids).where(F.size("fresh") > 0)
+
+
+def _offers(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, width: int) -> pa.RecordBatch:
+    """The width nearest different offers to each point. i and j are places in ids, which ascend."""
+    a, b = ids[i], ids[j]
+    order = np.lexsort((d, b, a))
+    a, b, d = a[order], b[order], d[order]
+    first = np.ones(len(a), dtype=bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, d = a[first], b[first], d[first]
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    near = np.arange(len(a)) - np.searchsorted(a, a) < width
+    return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (a, b, d)], names=["id", "neighbour", "distance"])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists one after another, and where each list ends, from 0."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]
+
+
+def _pairs(x: np.ndarray, worst: np.ndarray, met: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance): for each row the `most` nearest that it met and that are below its worst, ties by row. Products
+    tell, with a slack for their rounding, which pairs can be; only those are measured."""
+    size = (x * x).sum(axis=1)
+    both = size[:, None] + size
+    i, j = np.nonzero(met & ~(both - 2 * (x @ x.T) >= worst[:, None] ** 2 + 1e-9 * both))
+    step = max(1, (1 << 22) // max(1, x.shape[1]))
+    d = np.concatenate([np.sqrt(((x[i[lo : lo + step]] - x[j[lo : lo + step]]) ** 2).sum(axis=1)) for lo in range(0, len(i), step)] or [np.empty(0)])
+    near = np.flatnonzero((d < worst[i]) & np.isfinite(d))
+    near = near[np.lexsort((d[near], i[near]))]
+    near = near[np.arange(len(near)) - np.searchsorted(i[near], i[near]) < most]
+    return i[near], j[near], d[near]
+
+
+def _meet(most: int, width: int):
+    """Pairs at one pivot of which one is fresh: each member is told its `most` nearest that beat the last of its list. A
+    task gets the points of its part first, each once however many pivots it meets, then the pivots."""
 
     def run(batches):
+        held, ids, worst, vec = [], None, None, None
         for batch in batches:
-            lists = batch.column(0)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            ends, members = ends - ends[0], lists.flatten()
-            if not len(members):
+            pivots = batch.column("pivot").to_numpy(zero_copy_only=False)
+            points = batch.filter(pa.array(~pivots))
+            if len(points):
+                held.append((points.column("id").to_numpy(), points.column("worst").to_numpy(), _lists(points.column("vec"))[0].reshape(len(points), -1)))
+            met = batch.filter(pa.array(pivots))
+            if not len(met) or not held:
                 continue
-            ids, fresh, worst = (members.field(name).to_numpy(zero_copy_only=False) for name in ("id", "fresh", "worst"))
-            vec = members.field("vec").flatten().to_numpy().reshape(len(ids), -1)
+            if ids is None:
+                ids, worst, vec = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = ids.argsort(kind="stable")
+                held = [()]
+                ids, worst, vec = ids[order], worst[order], vec[order]
+            (new, new_ends), (old, old_ends) = _lists(met.column("fresh")), _lists(met.column("old"))
             out = []
-            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                d = _distances(vec[lo:hi], vec[lo:hi])
-                met = (fresh[lo:hi, None] > 0) | (fresh[None, lo:hi] > 0)
-                d[~met | (d >= worst[lo:hi, None]) | (ids[lo:hi, None] == ids[None, lo:hi])] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :most]
-                d = np.take_along_axis(d, near, axis=1)
-                i, j = np.nonzero(np.isfinite(d))
-                out.append((ids[lo:hi][i], ids[lo:hi][near[i, j]], d[i, j]))
-            a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["id", "neighbour", "distance"])
+            for p in range(len(met)):
+                who = np.concatenate([new[new_ends[p] : new_ends[p + 1]], old[old_ends[p] : old_ends[p + 1]]])
+                fresh = np.arange(len(who)) < new_ends[p + 1] - new_ends[p]
+                lo, hi = np.searchsorted(ids, who), np.searchsorted(ids, who, side="right")
+                times = hi - lo  # an id may have more rows than one
+                at = np.repeat(lo - (times.cumsum() - times), times) + np.arange(times.sum())
+                fresh = np.repeat(fresh, times)
+                order = at.argsort()
+                at, fresh = at[order], fresh[order]
+                i, j, d = _pairs(vec[at].astype(float), worst[at], (fresh[:, None] | fresh) & (ids[at][:, None] != ids[at]), most)
+                out.append((at[i], at[j], d))
+            yield _offers(ids, *(np.concatenate(x) for x in zip(*out, strict=True)), width)
 
     return run
 
 
-def neighbour_graph(points: DataFrame, k: int, width: int = WIDTH, still: float = STILL, rounds: int = MOST_ROUNDS, seed: int = 0) -> Graph:
+def _found(members: DataFrame, known: DataFrame, parts: int, most: int, width: int) -> DataFrame:
+    """(id, neighbour, distance) that the members of each pivot offer one another. A part of the pivots gets the vectors
+    that it needs once each."""
+    wanted = members.select("part", F.explode(F.concat("fresh", "old")).alias("id")).distinct()
+    point, ids = "part, false AS pivot, id, worst, vec", "CAST(NULL AS array<bigint>)"
+    vectors = wanted.join(known, "id").selectExpr(*point.split(", "), f"{ids} AS fresh", f"{ids} AS old")
+    pivots = members.select("part", F.lit(True).alias("pivot"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("worst"), F.lit(None).cast(known.schema["vec"].dataType).alias("vec"), "fresh", "old")
+    each = vectors.unionByName(pivots).repartitionById(parts, "part").sortWithinPartitions("pivot").drop("part")
+    return each.mapInArrow(_meet(most, width), "id long, neighbour long, distance double")
+
+
+def _narrow(points: DataFrame) -> DataFrame:
+    """points with vectors of half the size, where every value is a float as it is."""
+    wide = points.where("exists(vec, x -> x <> CAST(CAST(x AS float) AS double))")
+    return points if wide.limit(1).count() else points.withColumn("vec", F.col("vec").cast("array<float>"))
+
+
+def neighbour_graph(points: DataFrame, k: int, width: int = WIDTH, still: float = STILL, rounds: int = MOST_ROUNDS, seed: int = 0, part_values: int = PART_VALUES) -> Graph:
     """The k points found nearest to every point, ties by lower id, with the work done.
 
     ``points`` has ``id`` (long, unique) and ``vec`` (array of doubles of one length). Lists of ``width`` points (k at
     least) start from small hashed buckets. Neighbours are not always the very nearest: ``graph_recall`` measures it, and
     a larger width raises it. A point gets fewer than k only where its lists and buckets named fewer. Groups of equal
     points are one another's neighbours at distance 0; each list holds width of them. Empty input gives no rows.
+
+    Pivots meet in parts: in a round a vector goes once to each part where it meets, not once to each pivot. There are
+    LEAST_PARTS while all vectors have no more than ``part_values`` numbers. Beyond, a part has only as many pivots as need
+    no more, if all their members differ.
     """
     width = max(width, k)
     points = durable(points.select("id", "vec"))
+    rows, numbers = points.agg(F.count("*"), F.max(F.size("vec"))).first()
+    values = rows * (numbers or 0)
+    parts = LEAST_PARTS if values <= part_values else max(LEAST_PARTS, math.ceil(2 * width * values / part_values))
     start = nearest_hashed(points, width, tables=2, bucket_rows=4 * width, seed=seed)
-    edges = durable(_kept(start.select("id", "neighbour", "distance", F.lit(1).alias("fresh")), width, seed).drop("place"))
+    edges = durable(_kept(start.select("id", "neighbour", "distance", F.lit(1).alias("fresh")), width).drop("place"))
+    carried = _narrow(points)
     done = measured = 0
     while done < rounds:
         done += 1
-        members = _members(edges, width, seed + 10 * done)
+        members = durable(_members(edges, width, seed + 10 * done, parts))
         worst = edges.groupBy("id").agg(F.when(F.count("*") >= width, F.max("distance")).otherwise(float("inf")).alias("worst"))
-        known = points.join(worst, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
-        sizes = members.groupBy("pivot").agg(F.count("*").alias("n"), F.sum(1 - F.col("fresh")).alias("old"))
-        measured += sizes.agg(F.sum((F.col("n") * (F.col("n") - 1) - F.col("old") * (F.col("old") - 1)) / 2)).first()[0] or 0
-        met = members.join(known, "id").groupBy("pivot").agg(F.collect_list(F.struct("id", "fresh", "worst", "vec")).alias("met"))
-        found = met.select("met").mapInArrow(_meet(max(k, width // 2)), "id long, neighbour long, distance double")
+        known = carried.join(worst, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        n, old = (F.size("fresh") + F.size("old")).cast("long"), F.size("old").cast("long")
+        measured += members.agg(F.sum((n * (n - 1) - old * (old - 1)) / 2)).first()[0] or 0
+        found = _found(members, known, parts, max(k, width // 2), width)
         offers = edges.withColumn("fresh", F.lit(0)).unionByName(found.withColumn("fresh", F.lit(1)))
-        edges = durable(_kept(offers, width, seed).drop("place"))
+        edges = durable(_kept(offers, width).drop("place"))
         places, changed = edges.agg(F.count("*"), F.sum("fresh")).first()
         if (changed or 0) <= still * places:
             break
