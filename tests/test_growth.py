@@ -92,3 +92,59 @@ def test_pieces_are_whole_sums(spark):
 def test_no_rows_grow_no_split(spark):
     m = B.grow(B.binned(rows(spark, 0), ["id"], "y", NAMES, F.col("part")), [B.Model("m", B.Settings(trees=3, depth=2), (0,), (1,))])[0]
     assert m.stop and m.trees and m.trees[0].feature[0] < 0
+
+
+@pytest.mark.parametrize("width", [1, 4, 5])
+def test_sums_by_pairs_of_features_are_the_plain_ones(width):
+    rng, n, bins = np.random.default_rng(width), 70_000, 9
+    x, derived = rng.integers(0, bins, (7, n)).astype(np.uint8), (rng.normal(size=n), rng.random(n))
+    features, node = np.sort(rng.choice(7, width, replace=False)), rng.choice([-1, 0, 1, 2], n, p=[0.2, 0.5, 0.2999, 0.0001])
+    parts = [np.flatnonzero(node == k) for k in range(3)]
+    got = B._sums_of(x, B._pairs_of(x, features, bins), parts, features, bins, derived)
+    want = np.zeros((3, width, bins, 2))
+    B._add_sums(want, node, x.T, features, derived)
+    assert len(parts[2]) < bins * bins and np.allclose(got, want, rtol=1e-12, atol=1e-9)
+
+
+def test_many_trees_of_one_task_take_few_jobs_and_no_margins(spark, table, monkeypatch):
+    asked, f = [], B._grown_alone
+
+    def counted(data, blocks, models, works, known):
+        asked.append([w for _, w in works])
+        return f(data, blocks, models, works, known)
+
+    monkeypatch.setattr(B, "_grown_alone", counted)
+    monkeypatch.setattr(B, "_written", None)  # each task makes its margins from the trees
+    settings = B.Settings(depth=2, trees=240, patience=240, rows=0.8)
+    once = B.grow(table(), [B.Model("m", settings, (0,), (1,))])[0]
+    assert asked == [[30], [30], [60], [120]] and len(once.trees) == 240
+    steps = B.Model("m", settings, (0,), (1,))
+    for until in (70, 240):
+        B.grow(table(), [steps], until)
+    assert steps.aucs == once.aucs and all(np.array_equal(s.value, t.value) for s, t in zip(steps.trees, once.trees, strict=True))
+
+
+def test_a_task_grows_few_trees_after_its_model_would_stop(table, monkeypatch):
+    got, f = [], B._grown_alone
+
+    def counted(*a):
+        out = f(*a)
+        got.extend(len(v) for v in out.values())
+        return out
+
+    monkeypatch.setattr(B, "_grown_alone", counted)
+    m = B.grow(table(), [B.Model("m", B.Settings(depth=4, step=0.5, patience=5), (0,), (1,))])[0]
+    assert m.stop == "patience" and sum(got) <= m.best + 5 + B.BLOCK
+
+
+def test_a_model_without_splits_is_not_grown_on(table, monkeypatch):
+    got, f = [], B._grown_alone
+
+    def counted(*a):
+        out = f(*a)
+        got.extend(len(v) for v in out.values())
+        return out
+
+    monkeypatch.setattr(B, "_grown_alone", counted)
+    m = B.grow(table(), [B.Model("m", B.Settings(gamma=1e9), (0,), (1,))])[0]
+    assert m.stop == "no split" and len(m.trees) == 1 and got == [1]
