@@ -9,6 +9,7 @@ the square of a list's length, so longer lists pay only where rows are many time
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditlake.functions.ordering import durable, mix, rank_in_class
+from creditlake.functions.ordering import MIX_BITS, durable, mix, rank_in_class
 from creditlake.operators.smote import _distances, _matrix, nearest_hashed
 
 #: Points on a list, share of all list places below which changes end the rounds, and rounds at most.
 WIDTH, STILL, MOST_ROUNDS = 32, 0.002, 30
 #: Parts of the pivots at least, and numbers in the vectors that one part can need at most.
 LEAST_PARTS, PART_VALUES = 6, 1 << 26
+#: Offers that a task gathers before it cuts them, and that it hands on at once.
+GATHERED, HANDED_ON = 1 << 22, 1 << 17
 
 
 @dataclass
@@ -49,30 +52,36 @@ def _kept(edges: DataFrame, width: int) -> DataFrame:
 def _members(edges: DataFrame, width: int, seed: int, parts: int) -> DataFrame:
     """(part, pivot, fresh, old): the ids that meet at each pivot. Its own list, and up to width of those that name it: one
     for each of width slots of a hash, so a point that all lists name gathers no more. Where none is fresh none meet."""
-    slot, order = F.pmod(mix("id", seed), F.lit(width)), mix("id", seed + 1)
-    old = 1 - F.col("fresh")
-    own = edges.select(F.col("id").alias("pivot"), F.col("neighbour").alias("id"), old.alias("old"), F.col("neighbour").alias("own"))
-    named = edges.select(F.col("neighbour").alias("pivot"), "id", old.alias("old"), F.lit(None).cast("long").alias("own"))
-    both = own.unionByName(named).withColumn("part", F.pmod(F.xxhash64("pivot"), F.lit(parts)).cast("int")).repartitionById(parts, "part")
-    slots = both.withColumns({"slot": F.when(F.col("own").isNull(), slot), "order": F.when(F.col("own").isNull(), order)})
-    chosen = slots.groupBy("part", "pivot", "own", "slot").agg(F.min(F.struct("old", "order", "id")).alias("x")).select("part", "pivot", "x.id", "x.old")
-    once = chosen.groupBy("part", "pivot", "id").agg(F.min("old").alias("old"))
+    old, none = F.shiftleft((1 - F.col("fresh")).cast("long"), MIX_BITS), F.lit(None).cast("long")
+    own = edges.select(F.col("id").alias("pivot"), F.col("neighbour").alias("id"), F.col("neighbour").alias("own"), none.alias("slot"), old.alias("order"))
+    slot, order = F.pmod(mix("id", seed), F.lit(width)).alias("slot"), (old + mix("id", seed + 1)).alias("order")
+    named = edges.select(F.col("neighbour").alias("pivot"), "id", none.alias("own"), slot, order)
+    both = own.unionByName(named).repartition("pivot")
+    chosen = both.groupBy("pivot", "own", "slot").agg(F.min_by("id", "order").alias("id"), F.min("order").alias("order"))
+    once = chosen.groupBy("pivot", "id").agg(F.min(F.shiftright("order", MIX_BITS)).alias("old"))
     ids = [F.collect_list(F.when(F.col("old") == o, F.col("id"))).alias(name) for o, name in enumerate(("fresh", "old"))]
-    return once.groupBy("part", "pivot").agg(*ids).where(F.size("fresh") > 0)
-
-
-def _offers(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, width: int) -> pa.RecordBatch:
-    """The width nearest different offers to each point. i and j are places in ids, which ascend."""
-    a, b = ids[i], ids[j]
-    order = np.lexsort((d, b, a))
-    a, b, d = a[order], b[order], d[order]
-    first = np.ones(len(a), dtype=bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b, d = a[first], b[first], d[first]
-    order = np.lexsort((b, d, a))
-    a, b, d = a[order], b[order], d[order]
-    near = np.arange(len(a)) - np.searchsorted(a, a) < width
-    return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (a, b, d)], names=["id", "neighbour", "distance"])
+    part = F.pmod(F.xxhash64("pivot"), F.lit(parts)).cast("int").alias("part")
+    return once.groupBy("pivot").agg(*ids).where(F.size("fresh") > 0).select(part, "pivot", "fresh", "old")
+
+
+def _offers(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """The width nearest different offers to each point, ties by lower id. i and j are places in ids, which ascend; of an
+    id that has more rows than one they are the first."""
+    pair = i.astype(np.int64) * len(ids) + j
+    order = pair.argsort()
+    pair, d = pair[order], d[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]]))
+    pair, d = pair[first], np.minimum.reduceat(d, first) if len(first) else d
+    a = pair // len(ids)
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+    many = np.flatnonzero(np.repeat(np.diff(start, append=len(a)) > width, np.diff(start, append=len(a))))
+    if len(many):
+        own = many[np.lexsort((d[many], a[many]))]  # equal ones stay in the order of their ids
+        far = own[np.arange(len(own)) - np.searchsorted(a[own], a[own]) >= width]
+        pair, d = np.delete(pair, far), np.delete(d, far)
+    out = pa.RecordBatch.from_arrays([pa.array(ids[pair // len(ids)]), pa.array(ids[pair % len(ids)]), pa.array(d)], names=["id", "neighbour", "distance"])
+    for lo in range(0, len(d), HANDED_ON):
+        yield out.slice(lo, HANDED_ON)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +92,21 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(x: np.ndarray, worst: np.ndarray, met: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance): for each row the `most` nearest that it met and that are below its worst, ties by row. Products
-    tell, with a slack for their rounding, which pairs can be; only those are measured."""
+    tell, with a slack for their rounding, which pairs can be; only those are measured, each once for both of its rows."""
     size = (x * x).sum(axis=1)
     both = size[:, None] + size
-    i, j = np.nonzero(met & ~(both - 2 * (x @ x.T) >= worst[:, None] ** 2 + 1e-9 * both))
-    step = max(1, (1 << 22) // max(1, x.shape[1]))
-    d = np.concatenate([np.sqrt(((x[i[lo : lo + step]] - x[j[lo : lo + step]]) ** 2).sum(axis=1)) for lo in range(0, len(i), step)] or [np.empty(0)])
+    near, slack = both - 2 * (x @ x.T), 1e-9 * both
+    can = met & ~(near >= worst[:, None] ** 2 + slack)
+    if len(x) > most:
+        last = np.partition(np.where(met, near + slack, np.inf), most - 1, axis=1)[:, most - 1]
+        can &= ~(near - slack > last[:, None])
+    i, j = np.nonzero(np.triu(can | can.T))
+    step = max(1, (1 << 18) // max(1, x.shape[1]))
+    once = np.concatenate([np.sqrt(((x[i[lo : lo + step]] - x[j[lo : lo + step]]) ** 2).sum(axis=1)) for lo in range(0, len(i), step)] or [np.empty(0)])
+    square = np.empty(can.shape)
+    square[i, j] = square[j, i] = once
+    i, j = np.nonzero(can)
+    d = square[i, j]
     near = np.flatnonzero((d < worst[i]) & np.isfinite(d))
     near = near[np.lexsort((d[near], i[near]))]
     near = near[np.arange(len(near)) - np.searchsorted(i[near], i[near]) < most]
@@ -100,7 +118,7 @@ def _meet(most: int, width: int):
     task gets the points of its part first, each once however many pivots it meets, then the pivots."""
 
     def run(batches):
-        held, ids, worst, vec = [], None, None, None
+        held, ids, worst, vec, place = [], None, None, None, None
         for batch in batches:
             pivots = batch.column("pivot").to_numpy(zero_copy_only=False)
             points = batch.filter(pa.array(~pivots))
@@ -110,12 +128,17 @@ def _meet(most: int, width: int):
             if not len(met) or not held:
                 continue
             if ids is None:
-                ids, worst, vec = (np.concatenate(x) for x in zip(*held, strict=True))
+                ids, worst = (np.concatenate([h[k] for h in held]) for k in range(2))
                 order = ids.argsort(kind="stable")
-                held = [()]
-                ids, worst, vec = ids[order], worst[order], vec[order]
+                rank = order.argsort()
+                ids, worst = ids[order], worst[order]
+                place = np.searchsorted(ids, ids).astype(np.int32)
+                vec, lo = np.empty((len(ids), held[0][2].shape[1]), held[0][2].dtype), 0
+                for k, (own, _, x) in enumerate(held):  # a batch of vectors goes as soon as it is copied
+                    vec[rank[lo : lo + len(own)]] = x
+                    lo, held[k] = lo + len(own), ()
             (new, new_ends), (old, old_ends) = _lists(met.column("fresh")), _lists(met.column("old"))
-            out = []
+            out, gathered = [], 0
             for p in range(len(met)):
                 who = np.concatenate([new[new_ends[p] : new_ends[p + 1]], old[old_ends[p] : old_ends[p + 1]]])
                 fresh = np.arange(len(who)) < new_ends[p + 1] - new_ends[p]
@@ -126,8 +149,12 @@ def _meet(most: int, width: int):
                 order = at.argsort()
                 at, fresh = at[order], fresh[order]
                 i, j, d = _pairs(vec[at].astype(float), worst[at], (fresh[:, None] | fresh) & (ids[at][:, None] != ids[at]), most)
-                out.append((at[i], at[j], d))
-            yield _offers(ids, *(np.concatenate(x) for x in zip(*out, strict=True)), width)
+                own = place[at]
+                out.append((own[i], own[j], d))
+                gathered += len(d)
+                if gathered >= GATHERED or p + 1 == len(met):
+                    yield from _offers(ids, *(np.concatenate(x) for x in zip(*out, strict=True)), width)
+                    out, gathered = [], 0
 
     return run
 
@@ -158,14 +185,15 @@ def neighbour_graph(points: DataFrame, k: int, width: int = WIDTH, still: float
     points are one another's neighbours at distance 0; each list holds width of them. Empty input gives no rows.
 
     Pivots meet in parts: in a round a vector goes once to each part where it meets, not once to each pivot. There are
-    LEAST_PARTS while all vectors have no more than ``part_values`` numbers. Beyond, a part has only as many pivots as need
-    no more, if all their members differ.
+    as many as the cluster has slots, LEAST_PARTS at least, while all vectors have no more than ``part_values`` numbers.
+    Beyond, a part has only as many pivots as need no more, if all their members differ.
     """
     width = max(width, k)
     points = durable(points.select("id", "vec"))
     rows, numbers = points.agg(F.count("*"), F.max(F.size("vec"))).first()
     values = rows * (numbers or 0)
-    parts = LEAST_PARTS if values <= part_values else max(LEAST_PARTS, math.ceil(2 * width * values / part_values))
+    slots = max(LEAST_PARTS, points.sparkSession.sparkContext.defaultParallelism)
+    parts = slots if values <= part_values else max(slots, math.ceil(2 * width * values / part_values))
     start = nearest_hashed(points, width, tables=2, bucket_rows=4 * width, seed=seed)
     edges = durable(_kept(start.select("id", "neighbour", "distance", F.lit(1).alias("fresh")), width).drop("place"))
     carried = _narrow(points)

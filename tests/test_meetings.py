@@ -104,3 +104,51 @@ def test_measured_pairs_have_the_bits_of_all_pairs():
         i, j = np.nonzero(np.isfinite(d))
         got = G._pairs(x, worst, met, 16)
         assert all(np.array_equal(a, b) for a, b in zip(got, (i, near[i, j], d[i, j]), strict=True))
+
+
+def test_as_many_parts_as_slots(spark, points, monkeypatch):
+    asked, f = [], G._members
+
+    def counted(edges, width, seed, parts):
+        asked.append(parts)
+        return f(edges, width, seed, parts)
+
+    monkeypatch.setattr(G, "_members", counted)
+    G.neighbour_graph(points.dropDuplicates(["id"]), 3, width=8, rounds=1)
+    assert asked == [max(G.LEAST_PARTS, spark.sparkContext.defaultParallelism)]
+
+
+def test_members_are_chosen_without_a_sort(edges):
+    plan = G._members(edges, 8, 0, 3)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+@pytest.mark.parametrize("gathered", [1, 200, 1 << 22])
+def test_offers_gathered_in_small_heaps_are_the_same(monkeypatch, gathered):
+    monkeypatch.setattr(G, "GATHERED", gathered)
+    monkeypatch.setattr(G, "HANDED_ON", 64)
+    rng = np.random.default_rng(3)
+    vec = rng.normal(size=(90, 5)).astype("float32")
+    vec[40:60] = vec[0]
+    ids, lists = np.r_[np.arange(500, 411, -1), 500], pa.list_(pa.int64())
+    met = [[[int(i) for i in rng.choice(np.unique(ids), 20, replace=False)] for _ in range(2)] for _ in range(40)]
+    met = [(fresh, [i for i in old if i not in fresh]) for fresh, old in met]
+
+    def batch(n, pivot, **given):
+        kinds = {"pivot": pa.bool_(), "id": pa.int64(), "worst": pa.float64(), "vec": pa.list_(pa.float32()), "fresh": lists, "old": lists}
+        return pa.RecordBatch.from_arrays([pa.array(given.get(c, [pivot] * n if c == "pivot" else [None] * n), t) for c, t in kinds.items()], names=list(kinds))
+
+    halves = [batch(len(own), False, id=ids[own], worst=[3.0] * len(own), vec=list(vec[own])) for own in (np.arange(50), np.arange(50, 90))]
+    out = list(G._meet(6, 4)(iter([*halves, batch(40, True, fresh=[a for a, _ in met], old=[b for _, b in met])])))
+    best, want = defaultdict(dict), defaultdict(dict)
+    for r in pa.Table.from_batches(out).to_pylist():
+        best[r["id"]][r["neighbour"]] = min(r["distance"], best[r["id"]].get(r["neighbour"], np.inf))
+    for fresh, old in met:
+        who = [(i, v, i in fresh) for i in [*fresh, *old] for v in vec[ids == i].astype(float)]
+        for i, v, f in who:
+            for d, j in sorted((float(np.sqrt(((v - x) ** 2).sum())), j) for j, x, g in who if j != i and (f or g))[:6]:
+                if d < 3.0:
+                    want[i][j] = min(d, want[i].get(j, np.inf))
+    cut = lambda found: {i: sorted((d, j) for j, d in own.items())[:4] for i, own in found.items()}
+    assert max(len(b) for b in out) <= 64
+    assert {i: [d for d, _ in x] for i, x in cut(best).items()} == {i: pytest.approx([d for d, _ in x]) for i, x in cut(want).items()}
